@@ -21,12 +21,11 @@ Extra columns are not read. Long texts are taken whole.
 
 from __future__ import annotations
 
-import math
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import cut, drop_table
@@ -37,6 +36,7 @@ from attesta.llm.textvec import Words, pieces, shingles
 WIDTH, PART = 1 << 18, 1 << 14
 #: Blocks of columns; the first one is multiplied before the others.
 BLOCKS = 8
+PARITIES = 1024
 _U = np.uint64
 
 
@@ -86,13 +86,13 @@ def column_counts(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int, percent: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n (set size), key (identity of the set), head (its first columns)."""
+    """One row per document: id, n (set size), key (identity of the set), head (its first columns), parity (as longs)."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(column_counts(docs, k, text))
 
     def of(batches):
         for b in batches:
-            n, keys, heads = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
+            n, keys, heads, parities = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
             for row, s in _sets(b, k):
                 n[row] = len(s)
                 if len(s):
@@ -101,25 +101,31 @@ def profiles(docs: DataFrame, k: int, percent: int, id_: str = "doc_id", text: s
                     weight = np.minimum(counts.value[a], counts.value[c + WIDTH])
                     first = len(s) - -(-percent * len(s) // 100) + 1
                     heads[row] = s[np.lexsort((s, weight))[:first]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["id", "n", "key", "head"])
+                    parities[row] = np.packbits((np.bincount(s.view(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(keys, pa.binary()), pa.array(heads, longs), pa.array(parities, longs)], ["id", "n", "key", "head", "parity"])
 
-    return docs.select(F.col(id_).cast("long").alias("id"), text).mapInArrow(of, "id long, n long, key binary, head array<long>")
+    return docs.select(F.col(id_).cast("long").alias("id"), text).mapInArrow(of, "id long, n long, key binary, head array<long>, parity array<long>")
 
 
-def blocks(docs: DataFrame, k: int, id_: str, text: str) -> DataFrame:
-    """The rows of the incidence matrix, cut into BLOCKS parts by the n-gram's hash: id, n, block, grams."""
+def blocks(docs: DataFrame, k: int) -> DataFrame:
+    """The rows of the incidence matrix, cut into BLOCKS parts by the n-gram's hash: id, n, block, grams.
+
+    docs: id, text, key; of the rows with an id, the one whose set has that key counts.
+    """
 
     def of(batches):
         for b in batches:
-            ids = b.column(0).to_pylist()
+            ids, keys = b.column(0).to_pylist(), b.column(2).to_pylist()
             out: list[tuple] = []
             for row, s in _sets(b, k):
-                ends = np.searchsorted(s, np.arange(1, BLOCKS, dtype=np.uint64) << _U(61)) if len(s) else []
-                out += [(ids[row], len(s), j, g.view(np.int64)) for j, g in enumerate(np.split(s, ends))] if len(s) else []
+                if len(s) and blake2b(s.tobytes(), digest_size=16).digest() == keys[row]:
+                    ends = np.searchsorted(s, np.arange(1, BLOCKS, dtype=np.uint64) << _U(61))
+                    out += [(ids[row], len(s), j, g.view(np.int64)) for j, g in enumerate(np.split(s, ends))]
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["id", "n", "block", "grams"])
 
-    return docs.select(F.col(id_).cast("long").alias("id"), text).mapInArrow(of, "id long, n long, block int, grams array<long>")
+    return docs.mapInArrow(of, "id long, n long, block int, grams array<long>")
 
 
 def _need(percent: int) -> str:
@@ -144,34 +150,47 @@ class NgramJoin:
     """The candidate structure over one table of documents."""
 
     def __init__(self, docs: DataFrame, k: int = 3, percent: int = 90, id_: str = "doc_id", text: str = "text"):
-        self.percent = percent
+        self.percent, self.k = percent, k
+        self.texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
         self.docs = cut(profiles(docs, k, percent, id_, text))
-        self.nodes = self.docs.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("node"))
-        heads = self.docs.where("n > 0").join(self.nodes.select("key", F.col("node").alias("id")), ["key", "id"]).dropDuplicates(["key"]).select("id", "n", F.explode("head").alias("gram"))
-        heads = heads.distinct()
-        shared = heads.groupBy("gram").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
+        first = F.min(F.struct("id", "n", "head", "parity")).alias("first")
+        #: One node for each distinct set: its smallest id.
+        self.nodes = cut(self.docs.where("id is not null and n > 0").groupBy("key").agg(first).select("key", "first.*"))
+        column = Window.partitionBy("gram")
+        cells = self.nodes.select("id", "n", F.explode("head").alias("gram"))
+        cells = cells.select("*", F.min("id").over(column).alias("pivot"), F.max("id").over(column).alias("last"))
         #: The cells of the columns that more than one node has.
-        self.cells = cut(heads.join(shared, "gram"))
-        wanted = self.cells.select(F.col("id").alias(id_)).distinct()
-        self.rows = cut(blocks(docs.select(id_, text).join(wanted, id_, "left_semi"), k, id_, text).dropDuplicates(["id", "block", "grams"]))
+        self.cells = cut(cells.where("pivot < last").drop("last"))
 
     def close(self, a: str, b: str) -> str:
-        """Sets of na and nb n-grams are near enough in size to be similar."""
+        """Sets of a and b n-grams are near enough in size to be similar."""
         return f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})"
 
+    def product(self, pairs: DataFrame) -> DataFrame:
+        """The similar ones of pairs (x, y) of nodes, with their overlap."""
+        side = lambda s: self.nodes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("parity").alias(f"p{s}"))
+        differ = " + ".join(f"bit_count(px[{i}] ^ py[{i}])" for i in range(PARITIES // 64))
+        near = pairs.select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y")
+        near = cut(near.where(f"{differ} <= nx + ny - 2 * {_need(self.percent)}").select("x", "y"))
+        wanted = near.select(F.col("x").alias("id")).union(near.select("y")).distinct().join(self.nodes.select("id", "key"), "id")
+        rows = cut(blocks(self.texts.join(wanted, "id").dropDuplicates(["id", "text"]), self.k))
+        out = cut(product(near, rows, self.percent))
+        drop_table(rows)
+        return out
+
     def links(self) -> DataFrame:
         """Every pair of distinct sets that is similar: x, y (smallest ids of the sets, x < y), nx, ny, overlap.
 
         A group of g mutually similar sets has g * (g - 1) / 2 such pairs; components() does not need them.
         """
         a, b = self.cells.select("gram", F.col("id").alias("x"), F.col("n").alias("na")), self.cells.select("gram", F.col("id").alias("y"), F.col("n").alias("nb"))
-        return product(a.join(b, "gram").where("x < y").where(self.close("na", "nb")).select("x", "y").distinct(), self.rows, self.percent)
+        return self.product(a.join(b, "gram").where("x < y").where(self.close("na", "nb")))
 
     def components(self) -> DataFrame:
         """id, component for each node that has a link."""
-        sizes = self.cells.select(F.col("id").alias("pivot"), F.col("n").alias("np")).distinct()
+        sizes = self.nodes.select(F.col("id").alias("pivot"), F.col("n").alias("np"))
         star = self.cells.where("id != pivot").select("id", "n", "pivot").distinct().join(sizes, "pivot").where(self.close("n", "np"))
-        star = cut(product(star.select(F.col("pivot").alias("x"), F.col("id").alias("y")), self.rows, self.percent))
+        star = self.product(star.select(F.col("pivot").alias("x"), F.col("id").alias("y")))
         first = cut(components(star, "x", "y"))
         placed = cut(self.cells.join(first, "id", "left").select("gram", "id", "n", F.coalesce("component", "id").alias("c")))
         groups = placed.groupBy("gram", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -179,18 +198,13 @@ class NgramJoin:
         apart = a.join(b, (a["gram"] == b["gram"]) & F.expr(f"cx < cy and 100 * hix >= {self.percent} * loy and 100 * hiy >= {self.percent} * lox")).select(a["gram"].alias("gram"), "cx", "cy")
         x = placed.select("gram", F.col("c").alias("cx"), F.col("id").alias("x"), F.col("n").alias("na"))
         y = placed.select("gram", F.col("c").alias("cy"), F.col("id").alias("y"), F.col("n").alias("nb"))
-        pairs = apart.join(x, ["gram", "cx"]).join(y, ["gram", "cy"]).where(self.close("na", "nb")).select("x", "y").distinct()
-        more = cut(product(pairs, self.rows, self.percent))
+        more = self.product(apart.join(x, ["gram", "cx"]).join(y, ["gram", "cy"]).where(self.close("na", "nb")))
         return components(star.select("x", "y").union(more.select("x", "y")), "x", "y")
 
 
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id_, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     join = NgramJoin(docs, k, percent, id_, text)
-    found = join.nodes.join(join.components(), F.col("node") == F.col("id"), "left").select("key", F.coalesce("component", "node").alias("c"))
+    found = join.nodes.select("key", F.col("id").alias("node")).join(join.components(), F.col("node") == F.col("id"), "left").select("key", F.coalesce("component", "node").alias("c"))
     out = join.docs.select("id", "n", "key").join(found, "key", "left")
-    out = out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), None).otherwise(F.coalesce("c", "id")).alias("component_id"))
-    out = cut(out)
-    for t in (join.cells, join.rows, join.docs):
-        drop_table(t)
-    return out
+    return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), None).otherwise(F.coalesce("c", "id")).alias("component_id"))
