@@ -3,21 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attesta.llm.common import table
+from attesta.llm.common import cut, shared_dir, table
 from attesta.llm.exact_dedup import exact_duplicates
+from attesta.llm.language import identified, kept, page_languages
+from attesta.llm.mixing import mixed
 from attesta.llm.ngram_join import ngram_components
+from attesta.llm.token_counts import TokenRollup, counted
+from attesta.llm.token_files import token_files
+from attesta.llm.tokens import public_tokenizer
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_exact_dedup)}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted; toxic ones deleted; those of good quality recounted with an end id; a batch sent twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"])
+    n = cut(counted(docs, public_tokenizer(), "byte_bpe_50k").select("doc_id", "source", "lang", "version", "n_tokens"))
+    labelled = n.join(labels, "doc_id")
+    none = F.lit(None).cast("long")
+    rollup = TokenRollup(spark, shared_dir(spark))
+    rollup.commit("load", n.select("source", "lang", "version", F.lit("insert").alias("op"), "n_tokens", none.alias("old_tokens")))
+    gone = labelled.where("toxic = 1").select("source", "lang", "version", F.lit("delete").alias("op"), "n_tokens", none.alias("old_tokens"))
+    rollup.commit("toxic", gone)
+    rollup.commit("recount", labelled.where("toxic = 0 and quality = 1").select("source", "lang", "version", F.lit("revise").alias("op"), (F.col("n_tokens") + 1).alias("n_tokens"), F.col("n_tokens").alias("old_tokens")))
+    rollup.commit("toxic", gone)
+    return rollup.totals()
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=2)
+    return files.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = identified(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.col("lang").alias("declared"), "evidence.language", "evidence.posterior", "evidence.text_language", kept().alias("kept"))
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_languages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_source_mix, op4_exact_dedup, op5_token_counts, op6_token_ids, op7_language, page_language)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
