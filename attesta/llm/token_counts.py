@@ -39,7 +39,7 @@ def counted(docs: DataFrame, tokenizer: str, version: str, text: str = "text") -
             at = 0
             while at < len(texts):
                 stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars < 1 << 19):
+                while stop < len(texts) and (stop == at or chars < 1 << 20):
                     chars += len(texts[stop] or "")
                     stop += 1
                 n += [len(x) // model.width for x in model.encode([t or "" for t in texts[at:stop]])]

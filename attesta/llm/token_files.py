@@ -166,7 +166,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, order
             at = 0
             while at < len(texts):
                 stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars < 1 << 19):
+                while stop < len(texts) and (stop == at or chars < 1 << 20):
                     chars += len(texts[stop] or "")
                     stop += 1
                 for key, x in zip(keys[at:stop], model.encode([t or "" for t in texts[at:stop]]), strict=True):
@@ -195,7 +195,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for part, shard, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 f = TokenFile(raw)
-                bounds = [f.bounds(i) for i in range(f.n)]
+                ends = f.ends.all().tolist()
+                bounds = list(zip([0, *ends], ends, strict=False))
                 sums = [zlib.crc32(f.ids[a:e].astype("<u4").tobytes()) for a, e in bounds]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * f.n, pa.int64()), pa.array([shard] * f.n, pa.int64()), pa.array(range(f.n), pa.int64()), pa.array(f.doc_ids, pa.int64()), pa.array([a for a, _ in bounds], pa.int64()), pa.array([e - a for a, e in bounds], pa.int64()), pa.array(sums, pa.int64())],

@@ -13,6 +13,9 @@ import numpy as np
 
 #: Pieces that a worker remembers before it starts anew, and the longest one; they bound its memory.
 REMEMBERED, LONGEST = 1_000_000, 48
+_MARKS = ".,;:!?"
+#: Letters up to U+024F, which every Unicode version knows, and a mark.
+_MARKED = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F]{1,40}[.,;:!?]").fullmatch
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -27,6 +30,7 @@ class Encoder:
         self.dtype = np.dtype(f"<u{self.width}")
         feed = self.model.encode("a\nb", add_special_tokens=False).ids
         self.feed = feed[1] if len(feed) == 3 else None
+        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
         self.known: dict[str, bytes] = {}  # by piece, the ids of a space and the piece
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
@@ -37,37 +41,55 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        wanted: set[str] = set()
-        for p in cut:
-            wanted.update(p[1:])
-        missing = wanted.difference(known)
-        odd = {p for p in missing if _odd(p)}
-        for i, p in enumerate(cut):
-            if len(p) > 1 and (not p[0] or p[0][-1].isspace() or odd and not odd.isdisjoint(p[1:])):
-                cut[i] = p = _CUT.split(texts[i])
-                missing.update(x for x in p[1:] if x not in known)
-        missing -= odd
-        long = {p for p in missing if len(p) > LONGEST}
-        known.update(self._learned(list(missing - long)))
+        get = known.get
+        cut, found, gaps = [], [], []
+        missing: set[str] = set()
+
+        def look(p: list[str]) -> tuple[list[bytes | None], list[int]]:
+            v = list(map(get, p))
+            v[0] = b""
+            g = [i for i, x in enumerate(v) if x is None] if None in v else []
+            return v, g
+
+        for t in texts:
+            p = t.replace("\n", " \n").split(" ")
+            v, g = look(p)
+            # White space that meets a space or line feed: cut with care.
+            if len(p) > 1 and (not p[0] or p[0][-1].isspace() or any([_odd(p[i]) for i in g])):
+                p = _CUT.split(t)
+                v, g = look(p)
+            missing.update([p[i] for i in g])
+            cut.append(p)
+            found.append(v)
+            gaps.append(g)
+        new = self._learned(list(missing))
+        known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
         heads = self._ids([p[0] for p in cut])
-        if long:
-            extra = self._learned(list(long))
-            return [h + b"".join([known[x] if x in known else extra[x] for x in p[1:]]) for h, p in zip(heads, cut, strict=True)]
-        return [h + b"".join([known[x] for x in p[1:]]) for h, p in zip(heads, cut, strict=True)]
+        for h, p, v, g in zip(heads, cut, found, gaps, strict=True):
+            v[0] = h
+            for i in g:
+                v[i] = new[p[i]]
+        return [b"".join(v) for v in found]
 
     def _learned(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of each piece after its space or line feed. Many are encoded as one text, with a line feed between them, which is an id of its own there."""
         fed = [p for p in pieces if "\n" in p or self.feed is None]
         out = dict(zip(fed, self._ids([p if p[0] == "\n" else " " + p for p in fed]), strict=True))
-        plain = [p for p in pieces if p not in out]
-        for at in range(0, len(plain), 5000):
-            some = plain[at : at + 5000]
+        # A word and one mark after it are always two parts: the word is looked up or learned by itself.
+        marked = [p for p in pieces if _MARKED(p)] if self.feed is not None else []
+        bare = {p[:-1] for p in marked}
+        known = self.known
+        plain = [p for p in bare if p not in known] + [p for p in pieces if p not in out and p not in bare and not _MARKED(p)]
+        for at in range(0, len(plain), 200):
+            some = plain[at : at + 200]
             row = np.array(self.model.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
             ids, ends, w, first = row.tobytes(), [*np.flatnonzero(row == self.feed).tolist(), len(row)], self.width, 0
             for p, e in zip(some, ends, strict=True):
                 out[p] = ids[first * w : e * w]
                 first = e + 1
+        for p in marked:
+            word = p[:-1]
+            out[p] = (known[word] if word in known else out[word]) + self.marks[p[-1]]
         return out
 
 
