@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,18 +74,22 @@ class TextModel:
     table: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[bytes], languages: list[str], least: int = 5) -> TextModel:
-        names = sorted(x for x in set(languages) if languages.count(x) >= least) or sorted(set(languages))
+    def of_counts(cls, counts: dict[str, np.ndarray], rows: dict[str, int], least: int = 5) -> TextModel:
+        """counts: of trigrams, by language; languages with fewer than least rows are left out if others have as many."""
+        names = sorted(x for x in counts if rows[x] >= least) or sorted(counts)
         table = np.zeros((DIM, len(names) + 1), np.float32)
         for k, name in enumerate(names):
-            counts = np.zeros(DIM)
-            for t, x in zip(texts, languages, strict=True):
-                if x == name:
-                    counts += np.bincount(_trigrams([t])[0], minlength=DIM)
-            table[:, k] = np.log((counts + 0.05) / (counts.sum() + 0.05 * DIM))
+            table[:, k] = np.log((counts[name] + 0.05) / (counts[name].sum() + 0.05 * DIM))
         table[:, -1] = -np.log(DIM) + 1  # a little more than an even spread: trigrams of any one language keep to few cells
         return cls([*names, UND], table)
 
+    @classmethod
+    def fit(cls, texts: list[bytes], languages: list[str], least: int = 5) -> TextModel:
+        counts: dict[str, np.ndarray] = {}
+        for t, x in zip(texts, languages, strict=True):
+            counts[x] = counts.get(x, 0) + np.bincount(_trigrams([t])[0], minlength=DIM)
+        return cls.of_counts(counts, {x: languages.count(x) for x in counts}, least)
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Tempered log-likelihoods, texts by languages; zeros where a text has no letters."""
         out = []
@@ -98,9 +103,27 @@ class TextModel:
 
 
 def fitted(rows: DataFrame, text: str, declared: Column, key: Column) -> TextModel:
-    """The text model from at most MOST_TRAINED rows that declare a language."""
-    some = rows.select(F.col(text).alias("t"), declared.alias("d"), F.xxhash64(key).alias("h")).where("d is not null and length(t) > 0").orderBy("h", "d", "t").limit(MOST_TRAINED).collect()
-    return TextModel.fit([r.t.encode() for r in some], [r.d for r in some])
+    """The text model from the MOST_TRAINED rows with a declared language whose key has the least hash (rows that repeat a key come along)."""
+    some = rows.where(key.isNotNull() & declared.isNotNull() & (F.length(text) > 0)).select(F.xxhash64(key).alias("h"), declared.alias("d"), F.col(text).alias("t"))
+    last = some.select("h").orderBy("h").limit(MOST_TRAINED).agg(F.max("h")).first()[0]
+
+    def count(batches):
+        for b in batches:
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                cell, n = np.unique(_trigrams([t])[0], return_counts=True)
+                cell, n = np.append(cell, -1), np.append(n, 1)  # -1 counts rows
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(n), pa.string()), pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["d", "cell", "n"])
+
+    cells = some.where(F.col("h") <= F.lit(last)).select("d", "t").mapInArrow(count, "d string, cell long, n long").groupBy("d", "cell").agg(F.sum("n").alias("n"))
+    counts: dict[str, np.ndarray] = {}
+    sizes: dict[str, int] = {}
+    for r in cells.collect() if last is not None else []:  # at most DIM cells a language
+        counts.setdefault(r.d, np.zeros(DIM))
+        if r.cell < 0:
+            sizes[r.d] = r.n
+        else:
+            counts[r.d][r.cell] = r.n
+    return TextModel.of_counts(counts, sizes)
 
 
 def fused(rows: DataFrame, model: TextModel, text: str, declared: Column, host: Column, suffix: Column) -> DataFrame:
