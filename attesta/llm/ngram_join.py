@@ -45,11 +45,10 @@ def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(batch: pa.RecordBatch, k: int):
-    """(row, set) for each text of a batch; a set is a sorted array of distinct hashes."""
+    """(first row, sets) for each piece of a batch's texts; a set is a sorted array of distinct hashes."""
     for first, texts in pieces(batch.column(1)):
         w = Words(texts)
-        for i in range(len(texts)):
-            yield first + i, np.unique(shingles(w.hash[w.offset[i] : w.offset[i + 1]], k))
+        yield first, [np.unique(shingles(w.hash[w.offset[i] : w.offset[i + 1]], k)) for i in range(len(texts))]
 
 
 def column_counts(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
@@ -91,19 +90,20 @@ def profiles(docs: DataFrame, k: int, percent: int, id_: str = "doc_id", text: s
     counts = spark.sparkContext.broadcast(column_counts(docs, k, text))
 
     def of(batches):
+        longs = pa.list_(pa.int64())
         for b in batches:
-            n, keys, heads, parities = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
-            for row, s in _sets(b, k):
-                n[row] = len(s)
-                if len(s):
-                    keys[row] = blake2b(s.tobytes(), digest_size=16).digest()
-                    a, c = _cells(s)
-                    weight = np.minimum(counts.value[a], counts.value[c + WIDTH])
-                    first = len(s) - -(-percent * len(s) // 100) + 1
-                    heads[row] = s[np.lexsort((s, weight))[:first]].view(np.int64)
-                    parities[row] = np.packbits((np.bincount(s.view(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(keys, pa.binary()), pa.array(heads, longs), pa.array(parities, longs)], ["id", "n", "key", "head", "parity"])
+            for at, sets in _sets(b, k):
+                keys, heads, parities = ([None] * len(sets) for _ in range(3))
+                for i, s in enumerate(sets):
+                    if len(s):
+                        keys[i] = blake2b(s.tobytes(), digest_size=16).digest()
+                        a, c = _cells(s)
+                        weight = np.minimum(counts.value[a], counts.value[c + WIDTH])
+                        first = len(s) - -(-percent * len(s) // 100) + 1
+                        heads[i] = s[np.lexsort((s, weight))[:first]].view(np.int64)
+                        parities[i] = np.packbits((np.bincount(s.view(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+                n = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), n, pa.array(keys, pa.binary()), pa.array(heads, longs), pa.array(parities, longs)], ["id", "n", "key", "head", "parity"])
 
     return docs.select(F.col(id_).cast("long").alias("id"), text).mapInArrow(of, "id long, n long, key binary, head array<long>, parity array<long>")
 
@@ -117,13 +117,14 @@ def blocks(docs: DataFrame, k: int) -> DataFrame:
     def of(batches):
         for b in batches:
             ids, keys = b.column(0).to_pylist(), b.column(2).to_pylist()
-            out: list[tuple] = []
-            for row, s in _sets(b, k):
-                if len(s) and blake2b(s.tobytes(), digest_size=16).digest() == keys[row]:
-                    ends = np.searchsorted(s, np.arange(1, BLOCKS, dtype=np.uint64) << _U(61))
-                    out += [(ids[row], len(s), j, g.view(np.int64)) for j, g in enumerate(np.split(s, ends))]
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["id", "n", "block", "grams"])
+            for at, sets in _sets(b, k):
+                out = []
+                for row, s in enumerate(sets, at):
+                    if len(s) and blake2b(s.tobytes(), digest_size=16).digest() == keys[row]:
+                        ends = np.searchsorted(s, np.arange(1, BLOCKS, dtype=np.uint64) << _U(61))
+                        out += [(ids[row], len(s), j, g.view(np.int64)) for j, g in enumerate(np.split(s, ends))]
+                columns = list(zip(*out, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["id", "n", "block", "grams"])
 
     return docs.mapInArrow(of, "id long, n long, block int, grams array<long>")
 
