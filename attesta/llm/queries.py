@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.llm import masked_lm, toxicity
 from attesta.llm.common import cut, shared_dir, table
+from attesta.llm.decontaminate import leaks
 from attesta.llm.exact_dedup import exact_duplicates
 from attesta.llm.language import identified, kept, page_languages
+from attesta.llm.line_dedup import line_groups
 from attesta.llm.mixing import mixed
 from attesta.llm.ngram_join import ngram_components
 from attesta.llm.token_counts import TokenRollup, counted
@@ -23,6 +26,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,11 +60,36 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("lang").alias("declared"), "evidence.language", "evidence.posterior", "evidence.text_language", kept().alias("kept"))
 
 
+#: P(grade above 0) from which a text is called toxic; a document of few toxic words has little weight in all.
+TOXIC = 0.3
+
+
+def severity_grades(labels: DataFrame) -> DataFrame:
+    """doc_id and grade: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0).alias("grade"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs, severity_grades(table(spark, sf_dir, "labels")))
+    return toxicity.scored(docs, model).withColumn("toxic", F.col("p_above") >= TOXIC)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
+
+
+def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.scored(docs, masked_lm.trained(docs))
+
+
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_languages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_source_mix, op4_exact_dedup, op5_token_counts, op6_token_ids, op7_language, page_language)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_source_mix, op3_line_dedup, op4_exact_dedup, op5_token_counts, op6_token_ids, op7_language, op8_toxicity, op9_decontamination, op10_masked_lm, page_language)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
