@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import cut, drop_table
@@ -37,3 +39,43 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = state
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def shared(cells: DataFrame) -> DataFrame:
+    """The rows (columns of a key, and id) whose key more than one id has."""
+    same = Window.partitionBy(*[c for c in cells.columns if c != "id"])
+    both = cells.select("*", F.min("id").over(same).alias("_low"), F.max("id").over(same).alias("_high"))
+    return both.where("_low < _high").drop("_low", "_high")
+
+
+def grouped(cells: DataFrame, near: str, verified: Callable[[DataFrame], DataFrame], *key: str) -> DataFrame:
+    """Connected components (id, component) of the verified pairs among ids that share a key.
+
+    cells: the columns of key, id, and whatever near reads: a condition on a pair of rows, {a}column and {b}column, that every
+    linked pair meets. verified: from pairs (x, y) to those that are linked, as x and y.
+    In each key the ids are first compared with one pivot, components are formed, and then only ids that still lie in different
+    components are compared: in each key single ids with one another and with larger components, and larger components
+    pair by pair. A group of similar rows never makes all its pairs, and joins put out only pairs that meet near.
+    """
+    keys, rest = list(key), [c for c in cells.columns if c not in key]
+    cells = cut(cells)
+    same = Window.partitionBy(*keys)
+    pivot = F.min(F.struct("id", *[c for c in rest if c != "id"])).over(same)
+    star = cells.select("*", pivot.alias("p")).where("id != p.id").where(near.format(a="p.", b="")).select(F.col("p.id").alias("x"), F.col("id").alias("y"))
+    star = cut(verified(star.distinct()).select("x", "y"))
+    placed = cells.join(cut(components(star, "x", "y")), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    size = F.count("*").over(Window.partitionBy(*keys, "c"))
+    placed = placed.select("*", F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high"), size.alias("m"))
+    placed = cut(placed.where("low < high").drop("low", "high"))
+    a, b = (placed.select(*keys, "m", F.struct("c", *rest).alias(s)) for s in "ab")
+    close = F.expr(near.format(a="a.", b="b."))
+    one, many = F.col("m") == 1, F.col("m") > 1
+    ends = [F.col("a.id").alias("x"), F.col("b.id").alias("y")]
+    pairs = a.where(one).drop("m").join(b.where(one).drop("m"), keys).where(close & F.expr("a.id < b.id")).select(*ends)
+    pairs = pairs.union(a.where(one).drop("m").join(b.where(many).drop("m"), keys).where(close).select(*ends))
+    large = placed.where(many).select(*keys, "c").distinct()
+    apart = large.withColumnRenamed("c", "ca").join(large.withColumnRenamed("c", "cb"), keys).where("ca < cb")
+    left, right = a.where(many).withColumn("ca", F.col("a.c")).drop("m"), b.where(many).withColumn("cb", F.col("b.c")).drop("m")
+    pairs = pairs.union(apart.join(left, [*keys, "ca"]).join(right, [*keys, "cb"]).where(close).select(*ends))
+    more = cut(verified(pairs.distinct()).select("x", "y"))
+    return components(star.union(more), "x", "y")

@@ -25,11 +25,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import cut, drop_table
-from attesta.llm.graph import components
+from attesta.llm.graph import grouped, shared
 from attesta.llm.textvec import Words, pieces, shingles
 
 #: Counters of each of the sketch's two rows, and of each part in which a row is summed.
@@ -37,6 +37,8 @@ WIDTH, PART = 1 << 18, 1 << 14
 #: Blocks of columns; the first one is multiplied before the others.
 BLOCKS = 8
 PARITIES = 1024
+#: Longs of parities that travel with each cell.
+QUARTER = 4
 _U = np.uint64
 
 
@@ -157,15 +159,14 @@ class NgramJoin:
         first = F.min(F.struct("id", "n", "head", "parity")).alias("first")
         #: One node for each distinct set: its smallest id.
         self.nodes = cut(self.docs.where("id is not null and n > 0").groupBy("key").agg(first).select("key", "first.*"))
-        column = Window.partitionBy("gram")
-        cells = self.nodes.select("id", "n", F.explode("head").alias("gram"))
-        cells = cells.select("*", F.min("id").over(column).alias("pivot"), F.max("id").over(column).alias("last"))
-        #: The cells of the columns that more than one node has.
-        self.cells = cut(cells.where("pivot < last").drop("last"))
-
-    def close(self, a: str, b: str) -> str:
-        """Sets of a and b n-grams are near enough in size to be similar."""
-        return f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})"
+        quarter = [F.col("parity")[i].alias(f"p{i}") for i in range(QUARTER)]
+        cells = shared(self.nodes.select(F.explode("head").alias("gram"), "id"))
+        #: The cells of the columns that more than one node has, with the nodes' sizes and first parities.
+        self.cells = cells.join(self.nodes.select("id", "n", *quarter), "id")
+        need = _need(percent).replace("nx", "{a}n").replace("ny", "{b}n")
+        differ = " + ".join(f"bit_count({{a}}p{i} ^ {{b}}p{i})" for i in range(QUARTER))
+        #: What similar sets meet: near sizes, and no more different parities than columns may differ.
+        self.near = f"100 * least({{a}}n, {{b}}n) >= {percent} * greatest({{a}}n, {{b}}n) and {differ} <= {{a}}n + {{b}}n - 2 * {need}"
 
     def product(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of pairs (x, y) of nodes, with their overlap."""
@@ -184,23 +185,13 @@ class NgramJoin:
 
         A group of g mutually similar sets has g * (g - 1) / 2 such pairs; components() does not need them.
         """
-        a, b = self.cells.select("gram", F.col("id").alias("x"), F.col("n").alias("na")), self.cells.select("gram", F.col("id").alias("y"), F.col("n").alias("nb"))
-        return self.product(a.join(b, "gram").where("x < y").where(self.close("na", "nb")))
+        a, b = (self.cells.select("gram", F.struct(*[c for c in self.cells.columns if c != "gram"]).alias(s)) for s in "ab")
+        pairs = a.join(b, "gram").where("a.id < b.id").where(self.near.format(a="a.", b="b."))
+        return self.product(pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")))
 
     def components(self) -> DataFrame:
         """id, component for each node that has a link."""
-        sizes = self.nodes.select(F.col("id").alias("pivot"), F.col("n").alias("np"))
-        star = self.cells.where("id != pivot").select("id", "n", "pivot").distinct().join(sizes, "pivot").where(self.close("n", "np"))
-        star = self.product(star.select(F.col("pivot").alias("x"), F.col("id").alias("y")))
-        first = cut(components(star, "x", "y"))
-        placed = cut(self.cells.join(first, "id", "left").select("gram", "id", "n", F.coalesce("component", "id").alias("c")))
-        groups = placed.groupBy("gram", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        a, b = (groups.select("gram", *[F.col(c).alias(f"{c}{s}") for c in ("c", "lo", "hi")]) for s in "xy")
-        apart = a.join(b, (a["gram"] == b["gram"]) & F.expr(f"cx < cy and 100 * hix >= {self.percent} * loy and 100 * hiy >= {self.percent} * lox")).select(a["gram"].alias("gram"), "cx", "cy")
-        x = placed.select("gram", F.col("c").alias("cx"), F.col("id").alias("x"), F.col("n").alias("na"))
-        y = placed.select("gram", F.col("c").alias("cy"), F.col("id").alias("y"), F.col("n").alias("nb"))
-        more = self.product(apart.join(x, ["gram", "cx"]).join(y, ["gram", "cy"]).where(self.close("na", "nb")))
-        return components(star.select("x", "y").union(more.select("x", "y")), "x", "y")
+        return grouped(self.cells, self.near, self.product, "gram")
 
 
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_: str = "doc_id", text: str = "text") -> DataFrame:

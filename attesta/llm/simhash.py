@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut
-from attesta.llm.graph import components
-
 
 def _count(shift: int, mask: Column, hashes: Column, weights: Column | None) -> Column:
     """The sums of the masked lanes of the shifted hashes."""
@@ -61,24 +58,3 @@ def block_keys(fingerprint: Column, radius: int, agree: int = 1) -> Column:
 
 def hamming(a: str, b: str) -> Column:
     return F.expr(f"bit_count({a} ^ {b})")
-
-
-def grouped(cells: DataFrame, verified) -> DataFrame:
-    """Connected components (id, component) of the verified pairs among ids that share a key.
-
-    cells: columns of a key, and id. verified: from pairs (x, y) to those that are linked. In each key ids are first compared
-    with one pivot; then those still in different components with one another: a group of similar rows never makes all its pairs.
-    """
-    key = [c for c in cells.columns if c != "id"]
-    same = Window.partitionBy(*key)
-    shared = cells.select("*", F.min("id").over(same).alias("pivot"), F.max("id").over(same).alias("last"))
-    shared = cut(shared.where("pivot < last").drop("last"))
-    star = cut(verified(shared.where("id != pivot").select(F.col("pivot").alias("x"), F.col("id").alias("y")).distinct()))
-    placed = shared.join(cut(components(star, "x", "y")), "id", "left").select(*key, "id", F.coalesce("component", "id").alias("c"))
-    low, high = F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high")
-    placed = cut(placed.select("*", low, high).where("low < high").drop("low", "high"))
-    groups = placed.select(*key, "c").distinct()
-    apart = groups.withColumnRenamed("c", "cx").join(groups.withColumnRenamed("c", "cy"), key).where("cx < cy")
-    x, y = (placed.select(*key, F.col("c").alias(f"c{s}"), F.col("id").alias(s)) for s in "xy")
-    more = cut(verified(apart.join(x, [*key, "cx"]).join(y, [*key, "cy"]).select("x", "y").distinct()))
-    return components(star.select("x", "y").union(more.select("x", "y")), "x", "y")
