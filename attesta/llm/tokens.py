@@ -16,6 +16,7 @@ REMEMBERED, LONGEST = 1_000_000, 48
 _MARKS = ".,;:!?"
 #: Letters up to U+024F, which every Unicode version knows, and a mark.
 _MARKED = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F]{1,40}[.,;:!?]").fullmatch
+_PLAIN = re.compile(r"\n?[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F]+[.,;:!?]?").fullmatch
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -31,6 +32,7 @@ class Encoder:
         feed = self.model.encode("a\nb", add_special_tokens=False).ids
         self.feed = feed[1] if len(feed) == 3 else None
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
+        self.firsts: dict[str, bytes] = {}  # by a text's first piece, its ids
         self.known: dict[str, bytes] = {}  # by piece, the ids of a space and the piece
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
@@ -40,7 +42,7 @@ class Encoder:
         """The ids of each text, as if it were encoded whole."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
+        known, firsts = self.known, self.firsts
         get = known.get
         cut, found, gaps = [], [], []
         missing: set[str] = set()
@@ -49,27 +51,34 @@ class Encoder:
             v = list(map(get, p))
             v[0] = b""
             g = [i for i, x in enumerate(v) if x is None] if None in v else []
+            missing.update([p[i] for i in g])
             return v, g
 
         for t in texts:
             p = t.replace("\n", " \n").split(" ")
             v, g = look(p)
-            # White space that meets a space or line feed: cut with care.
-            if len(p) > 1 and (not p[0] or p[0][-1].isspace() or any([_odd(p[i]) for i in g])):
-                p = _CUT.split(t)
-                v, g = look(p)
-            missing.update([p[i] for i in g])
             cut.append(p)
             found.append(v)
             gaps.append(g)
-        new = self._learned(list(missing))
+        odd = {p for p in missing if not _PLAIN(p) and _odd(p)}
+        for i, p in enumerate(cut):
+            # White space meets a space or line feed here: cut with care.
+            if len(p) > 1 and (not p[0] or p[0][-1].isspace() or odd and not odd.isdisjoint([p[j] for j in gaps[i]])):
+                cut[i] = p = _CUT.split(texts[i])
+                found[i], gaps[i] = look(p)
+        new = self._learned(list(missing - odd))
         known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
-        heads = self._ids([p[0] for p in cut])
+        heads = [p[0] for p in cut]
+        unseen = list({h for h in heads if h not in firsts})
+        firsts.update(zip(unseen, self._ids(unseen), strict=True))
         for h, p, v, g in zip(heads, cut, found, gaps, strict=True):
-            v[0] = h
+            v[0] = firsts[h]
             for i in g:
                 v[i] = new[p[i]]
-        return [b"".join(v) for v in found]
+        out = [b"".join(v) for v in found]
+        if len(firsts) > 100_000 or any(len(h) > 1000 for h in unseen):
+            firsts.clear()
+        return out
 
     def _learned(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of each piece after its space or line feed. Many are encoded as one text, with a line feed between them, which is an id of its own there."""
