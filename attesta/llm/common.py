@@ -12,7 +12,20 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Rows and bytes of a batch that goes to Python; the default of 10,000 rows may be whole books.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def lean(spark: SparkSession) -> None:
+    """Bound the batches of this session."""
+    for key, most in ARROW.items():
+        now = str(spark.conf.get(key, "0"))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: a lost executor costs only its own tasks."""
     spark = df.sparkSession
+    lean(spark)
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,3 +75,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def squeezed(text: Column) -> Column:
     """text without white space; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
+
+
+#: Rows (of a few longs each) of a table that is broadcast.
+BROADCAST = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is proven to be small; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df

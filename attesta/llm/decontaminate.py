@@ -18,12 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut
+from attesta.llm.common import cut, small
 from attesta.llm.simhash import block_keys, hamming, simhash
 
 SHINGLE, RADIUS, SIMILAR = 5, 24, 0.8
-#: Rows of a broadcast table (of a few longs each).
-BROADCAST = 500_000
 
 
 def words(text: Column) -> Column:
@@ -43,9 +41,13 @@ def _shingles(w: str, k: int) -> Column:
     return F.when(F.size(w) >= k, hashes).otherwise(F.array().cast("array<struct<h:bigint,w:int>>"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, broadcast if it is proven to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+def _places(w: str, k: int) -> Column:
+    """(k, place, hash) of each run of k words of the array column w."""
+
+    def one(i: Column) -> Column:
+        return F.struct(F.lit(k).alias("k"), i.alias("p"), F.xxhash64(*[F.get(w, i + j) for j in range(k)]).alias("h"))
+
+    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), one)).otherwise(F.array().cast("array<struct<k:int,p:int,h:bigint>>"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: int = RADIUS, id_: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -62,20 +64,17 @@ def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: i
     rows = cut(rows.select("item_id", "item", "size", "k", by_k.alias("sh")))
     anchors = cut(rows.select("k", "size", F.posexplode("sh").alias("q", "s")).select("k", F.col("s.h").alias("h"), "q", "size").distinct())
     base = docs.select(F.col(id_).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), words(F.col(text)).alias("ws"))
-
-    def placed(k: int) -> Column:
-        return F.transform(_shingles("ws", k), lambda s, p: F.struct(F.lit(k).alias("k"), p.alias("p"), s["h"].alias("h")))
-
-    places = F.concat(*[placed(k) for k in kinds])
+    places = [_places("ws", k) for k in kinds]
+    places = F.concat(*places) if len(places) > 1 else places[0]
     cells = base.select("id", "key", F.size("ws").alias("n"), F.explode(places).alias("c")).select("id", "key", "n", "c.*")
-    hits = cells.join(_small(anchors), ["k", "h"])
+    hits = cells.join(small(anchors), ["k", "h"])
     aligned = hits.select("id", "key", "k", "size", "n", (F.col("p") - F.col("q")).alias("at")).distinct()
     shifts = F.explode(F.array(*[F.lit(i) for i in range(1 - SHINGLE, SHINGLE)])).alias("by")
     start = F.greatest(F.lit(0), F.least(F.col("at") + F.col("by"), F.col("n") - F.col("size")))
     windows = cut(aligned.select("*", shifts).select("id", "key", "k", "size", start.alias("start")).distinct())
     here = windows.select("id", "key").distinct()
     some = docs.select(F.col(id_).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), F.col(text).alias("text"))
-    near = _small(here.select(F.col("id").alias("i"), F.col("key").alias("y")))
+    near = small(here.select(F.col("id").alias("i"), F.col("key").alias("y")))
     texts = some.join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("y")), "left_semi").dropDuplicates(["id", "key"])
     texts = texts.select(F.col("id").alias("i"), F.col("key").alias("y"), words(F.col("text")).alias("ws"))
     cutout = windows.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("y"))).select("id", "key", "k", "size", "start", F.slice("ws", F.col("start") + 1, F.col("size")).alias("ws"))
