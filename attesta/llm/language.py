@@ -57,7 +57,7 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _pieces(texts: list[bytes]):
     run, size = [], 0
     for t in texts:
-        if run and size + len(t) > PIECE:
+        if run and size + len(t) > PIECE // 4:
             yield run
             run, size = [], 0
         run.append(t)
@@ -93,7 +93,7 @@ class TextModel:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Tempered log-likelihoods, texts by languages; zeros where a text has no letters."""
         out = []
-        for run in _pieces(texts):
+        for run in _pieces(texts):  # a few working arrays of each letter
             h, at = _trigrams(run)
             sums = np.zeros((len(h) + 1, self.table.shape[1]))
             np.cumsum(self.table[h], axis=0, dtype=np.float64, out=sums[1:])
