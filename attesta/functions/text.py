@@ -27,6 +27,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: a lambda would otherwise evaluate it again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(text: Column | str) -> Column:
     """Runs of Unicode white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " "))
@@ -44,10 +49,12 @@ def words(folded: Column | str) -> Column:
 
 def grams(folded: Column | str, n: int) -> Column:
     """The set of character n-grams of a folded, squeezed text, without the gram of spaces only."""
-    t = squeeze(folded)
-    runs = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
-    cells = F.when(F.length(t) >= n, F.array_remove(F.array_distinct(runs), " " * n))
-    return F.coalesce(cells, F.array().cast("array<string>"))
+
+    def cells(chars: Column) -> Column:  # an array, since a substring is searched for from the start
+        runs = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))
+        return F.when(F.size(chars) >= n, F.array_remove(F.array_distinct(runs), " " * n)).otherwise(F.array().cast("array<string>"))
+
+    return F.coalesce(let(F.split(squeeze(folded), ""), cells), F.array().cast("array<string>"))
 
 
 def clean_title(folded: Column | str) -> Column:
@@ -150,8 +157,12 @@ def invented_numbers(text: Column | str, evidence: Column | str) -> Column:
     exact = number_tokens(evidence)
     plain = F.transform(exact, lambda t: F.regexp_replace(t, "^[+-]+", ""))
     listed = F.regexp_replace(_number_text(_c(text)), r"(?m)^\s*\d+[.)]\s+", "")
-    known = lambda t: F.when(t.rlike("^[+-]"), F.array_contains(exact, t)).otherwise(F.array_contains(plain, t))
-    return F.array_distinct(F.filter(number_tokens(listed), lambda t: ~known(t)))
+
+    def bad(held: Column) -> Column:
+        known = lambda t: F.when(t.rlike("^[+-]"), F.array_contains(held["e"], t)).otherwise(F.array_contains(held["p"], t))
+        return F.array_distinct(F.filter(number_tokens(listed), lambda t: ~known(t)))
+
+    return let(F.struct(exact.alias("e"), plain.alias("p")), bad)
 
 
 # Floors on what a model wrote
@@ -164,16 +175,20 @@ def credits_human(text: Column | str) -> Column:
 
 def grounded_share(trigger: Column | str, source: Column | str) -> Column:
     """Share of the trigger's character pairs, white space removed, that the source has."""
-    t, d = F.regexp_replace(_c(trigger), r"(?U)\s+", ""), F.regexp_replace(_c(source), r"(?U)\s+", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-    share = F.size(F.filter(pairs, lambda g: d.contains(g))) / F.size(pairs)
-    return F.when(F.length(t) == 0, 0.0).when(F.length(t) == 1, d.contains(t).cast("double")).otherwise(share)
+
+    def share(t: Column, d: Column) -> Column:
+        pairs = let(F.split(t, ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.concat(F.get(c, i), F.get(c, i + 1))))
+        hits = F.size(F.filter(pairs, lambda g: d.contains(g))) / (F.length(t) - 1)
+        return F.when(F.length(t) == 0, 0.0).when(F.length(t) == 1, d.contains(t).cast("double")).otherwise(hits)
+
+    both = F.struct(F.regexp_replace(_c(trigger), r"(?U)\s+", "").alias("t"), F.regexp_replace(_c(source), r"(?U)\s+", "").alias("d"))
+    return let(both, lambda x: share(x["t"], x["d"]))
 
 
 def negations(text: Column | str) -> Column:
     """Negation words that occur, English ones at word boundaries and in any case."""
     t = _c(text)
-    en = F.filter(F.array(*map(F.lit, NEGATION_EN)), lambda w: F.lower(t).rlike(F.concat(F.lit("(?<![a-z'])\\Q"), w, F.lit("\\E(?![a-z'])"))))
+    en = F.filter(F.array(*map(F.lit, NEGATION_EN)), lambda w: F.regexp_like(F.lower(t), F.concat(F.lit("(?<![a-z'])\\Q"), w, F.lit("\\E(?![a-z'])"))))
     ja = F.filter(F.array(*map(F.lit, NEGATION_JA)), lambda w: t.contains(w))
     return F.array_sort(F.concat(en, ja))
 

@@ -34,7 +34,7 @@ def ledger(routes: DataFrame, folding=fold) -> DataFrame:
 
 def word_bounded(text: Column, key: Column) -> Column:
     """A key with ASCII letters or digits occurs as a word; others are contained."""
-    as_word = text.rlike(F.concat(F.lit("(?<![a-z0-9-])\\Q"), key, F.lit("\\E(?![a-z0-9-])")))
+    as_word = F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9-])\\Q"), key, F.lit("\\E(?![a-z0-9-])")))
     return F.when(key.rlike("[a-z0-9]"), as_word).otherwise(text.contains(key))
 
 

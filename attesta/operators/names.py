@@ -29,8 +29,17 @@ def resolve(names: DataFrame, slugs: DataFrame, titles: DataFrame) -> DataFrame:
     split = lambda c, p: F.filter(F.array_distinct(F.split(F.lower(c), p)), lambda w: w != "")
     want = rest.select("name", split("n", r"[-_\s/]+").alias("w"))
     have = known.select("slug", split("slug", r"[-_/]+").alias("w"))
-    shared = want.select("name", F.size("w").alias("a"), F.explode("w").alias("word")).join(have.select("slug", F.size("w").alias("b"), F.explode("w").alias("word")), "word")
-    overlap = shared.groupBy("name", "slug", "a", "b").agg(F.count("*").alias("c")).withColumn("j", F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).where(F.col("j") >= RESOLVE_JACCARD)
+    # Prefix filter: a set of a words overlaps one of b words by at least o = 2/7 (a + b) to reach 0.4, so one of its a - o + 1
+    # rarest words is shared. A word that every slug has then joins nothing but the sets that it decides.
+    seen = have.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    ranked = want.select("name", "w", F.explode("w").alias("word")).join(seen, "word", "left")
+    rarest = ranked.groupBy("name", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), lambda x: x["word"]).alias("rare"))
+    sizes = have.select(F.size("w").alias("b")).distinct()
+    need = F.ceil(F.lit(RESOLVE_JACCARD / (1 + RESOLVE_JACCARD)) * (F.size("w") + F.col("b")) - 1e-9)
+    probe = rarest.crossJoin(F.broadcast(sizes)).select("name", "w", "b", F.explode(F.slice("rare", F.lit(1), F.greatest(F.lit(0), F.size("w") - need + 1).cast("int"))).alias("word"))  # few sizes
+    index = have.select("slug", F.col("w").alias("v"), F.size("w").alias("b"), F.explode("w").alias("word"))
+    shared = probe.join(index, ["word", "b"]).select("name", "slug", "w", "v").dropDuplicates(["name", "slug"])
+    overlap = shared.select("name", "slug", (F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))).alias("j")).where(F.col("j") >= RESOLVE_JACCARD)
     order = Window.partitionBy("name").orderBy(F.desc("j"), "slug")
     fuzzy = overlap.withColumn("r", F.row_number().over(order)).where("r = 1").select("name", F.col("slug").alias("fuzzy"))
     out = tiers.join(fuzzy, "name", "left")

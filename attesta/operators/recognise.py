@@ -57,7 +57,7 @@ def cited(mem: DataFrame, questions: DataFrame, folding=fold) -> DataFrame:
     bases = m.where((base != F.col("s")) & (F.length(base) >= 3) & base.rlike("^[a-z0-9-]+$")).select("slug", base.alias("run"))
     by_slug = runs.join(slugs.union(bases), "run").select("q", "slug")
     odd = m.where(plain & ~F.col("s").rlike("^[a-z0-9-]+$")).select("slug", "s")
-    found = F.col("t").rlike(F.concat(F.lit("(?<![a-z0-9-])\\Q"), F.col("s"), F.lit("\\E(?![a-z0-9-])")))
+    found = F.regexp_like("t", F.concat(F.lit("(?<![a-z0-9-])\\Q"), F.col("s"), F.lit("\\E(?![a-z0-9-])")))
     by_odd = qn.join(odd, found).select("q", "slug")
     first = F.split("title", " ")[0]
     titles = m.where(F.length("title") >= 3).select("slug", "title", first.alias("word"))
@@ -105,7 +105,7 @@ def lookup(mem: DataFrame, questions: DataFrame, top: int = 3, gate: float = GAT
     """
     rows = scores(mem, questions, folding, body) if scored is None else scored
     order = Window.partitionBy("q").orderBy(F.desc("score"), "slug")
-    ranked = rows.select("q", "slug", "score", F.row_number().over(order).alias("rank"), F.lead("score").over(order).alias("next")).where(F.col("rank") <= max(1, top))
+    ranked = rows.select("q", "slug", "score", F.row_number().over(order).cast("long").alias("rank"), F.lead("score").over(order).alias("next")).where(F.col("rank") <= max(1, top))
     first = ranked.where("rank = 1")
     reason = F.when(F.col("score") < gate, "below gate").when((F.col("next") > 0) & (F.col("score") / F.col("next") < MARGIN), "margin")
     verdicts = questions.select("q").distinct().join(first.select("q", "score", reason.alias("reason"), F.lit(True).alias("voted")), "q", "left")
@@ -115,6 +115,10 @@ def lookup(mem: DataFrame, questions: DataFrame, top: int = 3, gate: float = GAT
     return verdicts.join(hits.withColumn("verdict", F.lit("ok")), ["q", "verdict"], "left").select("q", "verdict", "reason", "rank", "slug", F.round("score", 4).alias("score"))
 
 
+def _piece(text: str, n: int):
+    return lambda i: F.substring(F.col(text), i, F.lit(n))
+
+
 def by_words(lines: DataFrame, questions: DataFrame, top: int = 3) -> DataFrame:
     """The fallback: q, rank, slug, hits; index lines by how often the question's terms occur in them, then by descending slug.
 
@@ -126,9 +130,11 @@ def by_words(lines: DataFrame, questions: DataFrame, top: int = 3) -> DataFrame:
     # A term in a line is inside one of its runs of letters and digits.
     runs = named.select("line_no", "slug", F.explode(F.regexp_extract_all("line", F.lit("[a-z0-9]+"), F.lit(0))).alias("run")).groupBy("line_no", "slug", "run").agg(F.count("*").alias("runs"))
     vocabulary = runs.select("run").distinct()
-    parts = vocabulary.select("run", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.transform(F.sequence(F.lit(1), F.length("run") - i + 1), lambda k: F.substring("run", i, k)))))).alias("term"))
+    lengths = sorted(r.n for r in terms.select(F.length("term").alias("n")).distinct().collect()) or [3]  # of a question's words
+    cuts = [F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), _piece("run", n))) for n in lengths]
+    parts = vocabulary.select("run", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*cuts))))).alias("term"))
     wanted = terms.select("term").distinct()
     occurs = parts.join(wanted, "term").select("run", "term", ((F.length("run") - F.length(F.replace("run", "term", F.lit("")))) / F.length("term")).cast("long").alias("inside"))
     hits = terms.join(occurs, "term").join(runs, "run").groupBy("q", "line_no", "slug").agg(F.sum(F.col("times") * F.col("inside") * F.col("runs")).alias("hits"))
     order = Window.partitionBy("q").orderBy(F.desc("hits"), F.desc("slug"))
-    return hits.select("q", F.row_number().over(order).alias("rank"), "slug", "hits").where(F.col("rank") <= top)
+    return hits.select("q", F.row_number().over(order).cast("long").alias("rank"), "slug", "hits").where(F.col("rank") <= top)
