@@ -19,7 +19,7 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execut
 def lean(spark: SparkSession) -> None:
     """Bound the batches of this session."""
     for key, most in ARROW.items():
-        now = str(spark.conf.get(key, "0"))
+        now = str(spark.conf.get(key))
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
