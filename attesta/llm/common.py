@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.ship import ship
+
 #: The ASCII white space that separates words: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -17,7 +19,8 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execut
 
 
 def lean(spark: SparkSession) -> None:
-    """Bound the batches of this session."""
+    """Bound the batches of this session, and see that workers have the package."""
+    ship(spark)
     for key, most in ARROW.items():
         now = str(spark.conf.get(key))
         if not now.isdigit() or not 0 < int(now) <= most:

@@ -41,6 +41,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
+#: Ids of each key that all others are compared with first.
+PIVOTS = 6
+
+
 def shared(cells: DataFrame) -> DataFrame:
     """The rows (columns of a key, and id) whose key more than one id has."""
     same = Window.partitionBy(*[c for c in cells.columns if c != "id"])
@@ -53,15 +57,19 @@ def grouped(cells: DataFrame, near: str, verified: Callable[[DataFrame], DataFra
 
     cells: the columns of key, id, and whatever near reads: a condition on a pair of rows, {a}column and {b}column, that every
     linked pair meets. verified: from pairs (x, y) to those that are linked, as x and y.
-    In each key the ids are first compared with one pivot, components are formed, and then only ids that still lie in different
+    In each key the ids are first compared with PIVOTS of them, components are formed, and then only ids that still lie in different
     components are compared: in each key single ids with one another and with larger components, and larger components
-    pair by pair. A group of similar rows never makes all its pairs, and joins put out only pairs that meet near.
+    pair by pair. In a group of which each member is linked to a share of the others, hardly one is left after the pivots;
+    so a group of similar rows never makes all its pairs. Joins put out only pairs that meet near.
     """
     keys, rest = list(key), [c for c in cells.columns if c not in key]
     cells = cut(cells)
     same = Window.partitionBy(*keys)
-    pivot = F.min(F.struct("id", *[c for c in rest if c != "id"])).over(same)
-    star = cells.select("*", pivot.alias("p")).where("id != p.id").where(near.format(a="p.", b="")).select(F.col("p.id").alias("x"), F.col("id").alias("y"))
+    payload = [c for c in rest if c != "id"]
+    pivots = F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", *payload)).over(same) for i in range(PIVOTS)])
+    met = F.expr(f"filter(pivots, p -> p.id != id and {near.format(a='p.', b='')})")
+    star = cells.select(*rest, pivots.alias("pivots")).select("id", F.explode(F.transform(met, lambda p: p["id"])).alias("p"))
+    star = star.select(F.least("id", "p").alias("x"), F.greatest("id", "p").alias("y"))
     star = cut(verified(star.distinct()).select("x", "y"))
     placed = cells.join(cut(components(star, "x", "y")), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     size = F.count("*").over(Window.partitionBy(*keys, "c"))

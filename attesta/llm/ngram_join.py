@@ -8,7 +8,7 @@ columns: after each block a pair goes whose count so far, plus what is left of t
 below its own bound. What remains is counted in full, so the result is exact.
 
 Groups of similar documents are never expanded into all pairs. Equal sets are one node. In each
-column the nodes are first compared with one pivot; connected components are formed; and then
+column the nodes are first compared with a few pivots; connected components are formed; and then
 only nodes that still lie in different components are compared with one another.
 
 The order of columns is (estimated count, hash). The estimate comes from a count-min sketch over every n-gram
@@ -38,7 +38,7 @@ WIDTH, PART = 1 << 18, 1 << 14
 BLOCKS = 8
 PARITIES = 1024
 #: Longs of parities that travel with each cell.
-QUARTER = 4
+CARRIED = 8
 _U = np.uint64
 
 
@@ -159,12 +159,12 @@ class NgramJoin:
         first = F.min(F.struct("id", "n", "head", "parity")).alias("first")
         #: One node for each distinct set: its smallest id.
         self.nodes = cut(self.docs.where("id is not null and n > 0").groupBy("key").agg(first).select("key", "first.*"))
-        quarter = [F.col("parity")[i].alias(f"p{i}") for i in range(QUARTER)]
+        carried = [F.col("parity")[i].alias(f"p{i}") for i in range(CARRIED)]
         cells = shared(self.nodes.select(F.explode("head").alias("gram"), "id"))
         #: The cells of the columns that more than one node has, with the nodes' sizes and first parities.
-        self.cells = cells.join(self.nodes.select("id", "n", *quarter), "id")
+        self.cells = cells.join(self.nodes.select("id", "n", *carried), "id")
         need = _need(percent).replace("nx", "{a}n").replace("ny", "{b}n")
-        differ = " + ".join(f"bit_count({{a}}p{i} ^ {{b}}p{i})" for i in range(QUARTER))
+        differ = " + ".join(f"bit_count({{a}}p{i} ^ {{b}}p{i})" for i in range(CARRIED))
         #: What similar sets meet: near sizes, and no more different parities than columns may differ.
         self.near = f"100 * least({{a}}n, {{b}}n) >= {percent} * greatest({{a}}n, {{b}}n) and {differ} <= {{a}}n + {{b}}n - 2 * {need}"
 
