@@ -54,7 +54,7 @@ def test_line_groups_match_brute_force(spark):
     vocabulary = [f"{a}{b}" for a in ("lor", "ips", "dol", "sit", "am") for b in ("em", "um", "or", "et", "is", "")]
     base = [[rng.choice(vocabulary) for _ in range(rng.randrange(12, 30))] for _ in range(25)]
     rows = []
-    for i in range(60):
+    for i in range(200):
         lines = []
         for _ in range(rng.randrange(1, 6)):
             words = list(rng.choice(base))
@@ -77,8 +77,8 @@ def test_line_groups_match_brute_force(spark):
     # Components of the pairs that a brute-force SimHash and edit distance link.
     import itertools
 
-    texts = [t for t in first if len(t.split(" ")) >= 5]
-    prints = {r.t: r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", simhash(F.transform(F.split("t", " "), lambda w: F.xxhash64(w))).alias("p")).collect()}
+    texts = [t for t in first if len(set(t.split(" "))) >= 5]
+    prints = {r.t: r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", simhash(F.transform(F.array_distinct(F.split("t", " ")), lambda w: F.xxhash64(w))).alias("p")).collect()}
     root = {t: t for t in first}
 
     def find(t):
