@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import fresh
-from attesta.llm.textvec import PIECE
+from attesta.llm.textvec import PIECE, let_go
 
 MOST_TRAINED = 4000
 WEIGHT = 60.0
@@ -133,6 +133,7 @@ def fused(rows: DataFrame, model: TextModel, text: str, declared: Column, host:
 
     @F.pandas_udf("array<double>")
     def scores(t: pd.Series) -> pd.Series:
+        let_go()
         texts = [x.encode() if x else b"" for x in t]
         return pd.Series(list(given.value.scores(texts)))
 

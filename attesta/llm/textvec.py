@@ -77,8 +77,25 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h + _U(k) * _STEP[63])
 
 
+_held: dict = {}
+
+
+def held(key: str, make):
+    """make(), kept by this worker as its one large object until it holds another or lets go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """A worker that goes on to other work frees what it held."""
+    _held.clear()
+
+
 def pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about PIECE bytes, each with the index of its first text; null counts as empty."""
+    let_go()
     texts = column.cast(pa.large_binary()).to_pylist()
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):

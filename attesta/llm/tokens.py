@@ -7,10 +7,11 @@ characters that are not white space. Pieces cut there can be encoded one by one,
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import numpy as np
 
+from attesta.llm.textvec import held
+
 #: Pieces that a worker remembers before it starts anew, and the longest one; they bound its memory.
 REMEMBERED, LONGEST = 1_000_000, 48
 _MARKS = ".,;:!?"
@@ -108,10 +109,9 @@ def _odd(piece: str) -> bool:
     return not inner or inner[0].isspace() or inner[-1].isspace()
 
 
-@cache
 def encoder(path: str) -> Encoder:
     """One encoder for a worker process."""
-    return Encoder(path)
+    return held(path, lambda: Encoder(path))
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
