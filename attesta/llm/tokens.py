@@ -6,6 +6,7 @@ characters that are not white space. Pieces cut there can be encoded one by one,
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -27,6 +28,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
