@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.functions.text import token_estimate
+from attesta.operators import names
+
 
 def retention(answers: DataFrame) -> DataFrame:
     """category (null for all), n, passed, score. answers: category, found, must_not_store; a fact that must not be stored passes if it is not found."""
@@ -67,3 +70,28 @@ def quiet_sessions(events: DataFrame, minutes: int = 10, key: str = "user_id", t
     span = F.session_window(F.col(ts), f"{minutes} minutes")
     runs = events.groupBy(key, span).agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
     return runs.select(key, "first", "last", "n")
+
+
+def doctor(mem: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row of a store's health: memories, links_resolved, links_dead, islands, not_in_index, index_orphans, hubs, tokens, tagged.
+
+    mem: slug, body, tags (null where they can't be read). lines: line_no, line of the index.
+    """
+    links = names.links(mem)
+    resolved = names.resolve(links.select(F.col("dst").alias("name")).distinct(), mem, names.first_titles(lines)).where("slug is not null")
+    live = links.join(resolved.withColumnRenamed("name", "dst"), "dst").select("src", F.col("slug").alias("dst")).distinct()
+    dead = links.join(resolved.select(F.col("name").alias("dst")), "dst", "left_anti")
+    drift = names.index_drift(lines, mem)
+    listed = lambda df, c: df.agg(F.array_sort(F.collect_list(c)).alias("x"))
+    parts = {
+        "links_resolved": live.agg(F.count("*").alias("x")),
+        "links_dead": listed(dead, F.concat("src", F.lit("→"), "dst")),
+        "islands": listed(names.islands(live, mem), "slug"),
+        "not_in_index": listed(drift.where("problem = 'not in index'"), "slug"),
+        "index_orphans": listed(drift.where("problem = 'orphan'"), "slug"),
+        "hubs": names.hubs(live, mem).agg(F.collect_list(F.struct("links_in", "slug")).alias("x")),
+    }
+    out = mem.agg(F.count("*").alias("memories"), F.sum(token_estimate("body")).alias("tokens"), F.count_if(F.size("tags") > 0).alias("tagged"))
+    for name, df in parts.items():
+        out = out.crossJoin(df.withColumnRenamed("x", name))  # one row each
+    return out

@@ -130,3 +130,33 @@ def test_quiet_closes_sessions(spark, tmp_path):
     q = streaming.quiet(stream, late="1 minute").writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.user_id, r.n) for r in spark.table("quiet").collect()) == [(1, 1), (1, 2)]
+
+
+def test_registry(tmp_path):
+    from attesta.registry import ConfigError, Registry
+
+    ok = {"stores": {"a": {"path": "a"}, "b": {"path": "b", "write_policy": "frozen", "ladder": [4, 8]}}, "modes": {"work": "b"}, "defaults": {"gate": 2}}
+    r = Registry.of(ok, str(tmp_path))
+    assert r.store().name == "a" and r.store("work").ladder == (4, 8) and r.store("b").gate == 2
+    with pytest.raises(ConfigError):
+        r.store("nobody")
+    for bad in ({"odd": 1}, {"stores": {"a": {}}}, {"stores": {"a": {"path": "x", "typo": 1}}}, {"stores": {"a": {"path": "x", "gate": "high"}}}, {"stores": {"a": {"path": "x"}, "b": {"path": "x/y"}}}, {"stores": {"a": {"path": "x", "write_policy": "open"}}}, {"stores": {"a": {"path": "x"}}, "modes": {"m": "z"}}, {"stores": {"a": {"path": "x", "ladder": [8, 4]}}}):
+        with pytest.raises(ConfigError):
+            Registry.of(bad, str(tmp_path))
+
+
+def test_views_of_a_store(spark, root, tmp_path, capsys):
+    from attesta import cli
+
+    config = tmp_path / "c.toml"
+    config.write_text(f'[stores.s]\npath = "{root}"\n')
+    run = lambda *a: (cli.main([str(config), *a]), capsys.readouterr().out)
+    assert run("stores")[0] == 0 and run("stores", "--store", "x")[0] == 1
+    code, out = run("doctor")
+    d = json.loads(out)
+    assert code == 0 and d["memories"] == 3 and d["not_in_index"] == ["_study/c"] and d["islands"] == ["_study/c"] and d["links_resolved"] == 1
+    assert run("sectors")[1] == "- One — 2 memories (e.g. A / B)\n- UNSECTIONED — 1 memories\n"
+    code, out = run("recall", "what", "about", "a?")
+    assert code in (0, 2) and json.loads(out)["how"]
+    assert "LINKS:\nb" in run("glance", "a")[1] and run("glance", "nobody") == (2, "\n")
+    assert "[A](a.md)" in run("weave")[1] and run("edges")[0] == 2
