@@ -166,3 +166,34 @@ def test_leak_edge_cases(spark):
 def test_op3_has_every_line(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").select(F.sum(F.size(F.split("text", "\n", -1)))).first()[0]
     assert queries.op3_line_dedup(spark, sf).count() == n
+
+
+def test_line_recall_against_edit_distance_alone(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(2, 9)))
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(n))
+    pairs = [("copyright 2023 example corporation", "copyright 2024 example corporation")]
+    for _ in range(150):
+        line = " ".join(word() for _ in range(rng.randrange(10, 31)))
+        i = rng.randrange(len(line))
+        pairs.append((line, line[:i] + "x" + line[i + 1 :]))
+    for size in range(10, 50):  # short: as many edits as the similarity allows, anywhere
+        for _ in range(5):
+            line = [rng.choice("abcdefghilmnoprstu") for _ in range(size)]
+            other = list(line)
+            for i in rng.sample(range(size), size // 10):
+                other[i] = rng.choice(["", "xy"]) if size // 10 > 2 and rng.random() < 0.3 else "z"
+            pairs.append(("".join(line), "".join(other)))
+    for size in (20, 40, 80, 300):
+        for _ in range(10):
+            line = han(size)
+            i = rng.randrange(size)
+            pairs.append((line, line[:i] + "x" + line[i + 1 :]))
+    alike = [distance(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    rows = [(2 * n + k, t) for n, p in enumerate(pairs) for k, t in enumerate(p)]
+    group = {r.doc_id: r.group_doc for r in line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [group[2 * n] == group[2 * n + 1] for n in range(len(pairs))]
+    assert sum(alike) > 340 and all(a or not f for a, f in zip(alike, found, strict=True))
+    missed = [n for n, (a, f) in enumerate(zip(alike, found, strict=True)) if a and not f]
+    assert not [n for n in missed if len(pairs[n][0]) < 50 and len(pairs[n][1]) < 50]  # short lines: every pair
+    assert len(missed) <= 3, [pairs[n] for n in missed]
