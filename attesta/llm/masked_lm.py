@@ -6,8 +6,7 @@ softmax over classes and one over the class's words. A document's score is the s
 
 Vocabulary: the VOCABULARY - RARE most frequent words, by counts over all texts, dealt into classes by rank (so every
 class has as many words); other words share RARE rare words, by hash. Training (numpy, AdaGrad) is done where the data
-lie: in each of ROUNDS rounds every task goes once over a window in STRIDE of all its texts, at another offset each round, from
-the round's parameters, and the tasks' parameters are averaged by the number of windows, part by part on the executors. A task's random
+lie: in each of ROUNDS rounds every task goes once over every window of all its texts, from the round's parameters, and the tasks' parameters are averaged by the number of windows, part by part on the executors. A task's random
 numbers and order depend on its rows alone, so a lost task gives the same again. Gathering grows with the tasks, and so
 with the input; the driver holds the word counts of the vocabulary and one set of parameters.
 
@@ -28,7 +27,7 @@ from attesta.llm.textvec import Words, pieces
 
 CLASSES = 32
 VOCABULARY, RARE, SPAN, SIZE = CLASSES * CLASSES, 64, 2, 16
-ROUNDS, STRIDE, BATCH, RATE = 2, 8, 512, 0.1
+ROUNDS, STRIDE, BATCH, RATE = 2, 1, 512, 0.1
 EDGE = VOCABULARY  # the id beyond a text's ends
 _OFFSETS = [*range(-SPAN, 0), *range(1, SPAN + 1)]
 
@@ -138,9 +137,11 @@ class WindowNet:
                 dh[rows] += e @ p["within"][k].T
         dz = dh * (1 - h * h) / n
         g["bias"][...] = dz.sum(axis=0)
-        for i, (x, v) in enumerate(zip(near, inputs, strict=True)):
+        for i, v in enumerate(inputs):
             g["mix"][i] = v.T @ dz
-            np.add.at(g["vectors"], x, dz @ p["mix"][i].T)
+        cells = np.concatenate(near)[:, None] * SIZE + np.arange(SIZE)
+        back = np.concatenate([dz @ m.T for m in p["mix"]])
+        g["vectors"][...] = np.bincount(cells.ravel(), back.ravel(), (VOCABULARY + 1) * SIZE).reshape(-1, SIZE)
         square += grad * grad
         theta -= RATE * grad / np.sqrt(square)
 

@@ -144,3 +144,9 @@ def test_masked_lm_edge_cases(spark):
     assert by[1].log_probability == 0 and by[2].per_word is None and by[3].n_words == 1 and by[4].n_words == 100000
     assert all(r.log_probability < 0 for r in got if r.n_words)
     assert masked_lm.scored(docs.limit(0), masked_lm.trained(docs.limit(0))).count() == 0
+
+
+def test_masked_lm_trains_on_every_window(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h " * 2) for i in range(3000)], "doc_id long, text string").repartition(2)
+    got = masked_lm.scored(docs, masked_lm.trained(docs)).first()
+    assert got.n_words == 16 and got.per_word > -2.0  # an even guess among the eight is -2.08
