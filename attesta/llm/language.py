@@ -9,7 +9,8 @@ Four kinds of evidence meet in one posterior over languages and 'und' (no langua
 
 The last three are grouped sums, over all rows, of the texts' own posteriors; a row's own share is taken out of its host's
 sums. Sums are partial on each task, so a hot host is one row a task. The trigram model is fitted to a bounded sample of
-rows with a declared language (MOST_TRAINED of them, least hash first); everything else covers all rows.
+each declared language (all its rows, or about MOST_TRAINED of them, of least hash), and languages are counted over all rows, so which ones are known
+does not depend on the size of the table. More than MOST_LANGUAGES declared languages are an error, not a cut; everything else covers all rows.
 
 Nulls: a null text counts as empty; a text without letters is 'und' and rejected. A null declaration, host or suffix
 is a value like others. Ties go to the language first in the alphabet. Repeated rows count each time. An empty
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from attesta.llm.common import fresh
 from attesta.llm.textvec import PIECE, let_go
 
+#: Rows of a declared language, on average; and declared languages.
 MOST_TRAINED = 4000
+MOST_LANGUAGES = 1000
 WEIGHT = 60.0
 #: Rows' worth of a parent's shares in a host's and a suffix's; and of an even spread in a declaration's.
 SMOOTH = 20.0
@@ -103,9 +106,14 @@ class TextModel:
 
 
 def fitted(rows: DataFrame, text: str, declared: Column, key: Column) -> TextModel:
-    """The text model from the MOST_TRAINED rows with a declared language whose key has the least hash (rows that repeat a key come along)."""
+    """The text model from about MOST_TRAINED rows of each declared language, those whose key has the least hash (all rows where there are fewer)."""
     some = rows.where(key.isNotNull() & declared.isNotNull() & (F.length(text) > 0)).select(F.xxhash64(key).alias("h"), declared.alias("d"), F.col(text).alias("t"))
-    last = some.select("h").orderBy("h").limit(MOST_TRAINED).agg(F.max("h")).first()[0]
+    sizes = {r.d: r["count"] for r in some.groupBy("d").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} declared languages")
+    # A language's share of the hashes, which are even; a sample needs no order of a language's rows.
+    lasts = [(d, -(1 << 63) + min((1 << 64) - 1, MOST_TRAINED * (1 << 64) // n)) for d, n in sizes.items()]
+    last = F.broadcast(rows.sparkSession.createDataFrame(lasts, "d string, last long"))
 
     def count(batches):
         for b in batches:
@@ -114,14 +122,11 @@ def fitted(rows: DataFrame, text: str, declared: Column, key: Column) -> TextMod
                 cell, n = np.append(cell, -1), np.append(n, 1)  # -1 counts rows
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(n), pa.string()), pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["d", "cell", "n"])
 
-    cells = some.where(F.col("h") <= F.lit(last)).select("d", "t").mapInArrow(count, "d string, cell long, n long").groupBy("d", "cell").agg(F.sum("n").alias("n"))
+    cells = some.join(last, "d").where("h <= last").select("d", "t").mapInArrow(count, "d string, cell long, n long").groupBy("d", "cell").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
-    sizes: dict[str, int] = {}
-    for r in cells.collect() if last is not None else []:  # at most DIM cells a language
+    for r in cells.collect():  # at most DIM cells a language
         counts.setdefault(r.d, np.zeros(DIM))
-        if r.cell < 0:
-            sizes[r.d] = r.n
-        else:
+        if r.cell >= 0:
             counts[r.d][r.cell] = r.n
     return TextModel.of_counts(counts, sizes)
 

@@ -150,3 +150,10 @@ def test_masked_lm_trains_on_every_window(spark):
     docs = spark.createDataFrame([(i, "a b c d e f g h " * 2) for i in range(3000)], "doc_id long, text string").repartition(2)
     got = masked_lm.scored(docs, masked_lm.trained(docs)).first()
     assert got.n_words == 16 and got.per_word > -2.0  # an even guess among the eight is -2.08
+
+
+def test_a_rare_language_is_known_at_any_size(spark):
+    en = spark.range(30000).selectExpr("id AS doc_id", "'the dog and the cat' AS text", "'en' AS lang")
+    fr = spark.range(30000, 30012).selectExpr("id AS doc_id", "'le chien et la souris' AS text", "'fr' AS lang")
+    model = language.fitted(en.union(fr), "text", F.col("lang"), F.col("doc_id"))
+    assert model.languages == ["en", "fr", "und"]
