@@ -5,8 +5,9 @@ of a source is released at slot floor(j * T / W) and due by slot ceil((j + 1) *
 released blocks the one due first. The weights fill every slot, so no block is ever late, and after each slot
 every source's count differs from its share by less than one block.
 
-That schedule repeats after T slots, and T is a parameter: the driver lays out one period, whatever the size of the
-corpus. When a source has no blocks left, the others go on with their weights among themselves in a new
+The weights are the targets exactly (a float is a fraction), so this holds for the targets themselves, however long the schedule is.
+Where T is at most a parameter the schedule repeats after T slots, and the driver lays out one period; for other targets it
+lays out every block, one row for each block of documents. When a source has no blocks left, the others go on with their weights among themselves in a new
 period (a segment), until all documents have a place: none is dropped or repeated. The driver holds
 the number of documents of each source; more than MOST_SOURCES sources are an error, not a cut.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -61,20 +63,35 @@ def shares(weights: list[float], parts: int) -> list[int]:
     return [w // common for w in whole]
 
 
+def exact(weights: list[float], parts: int) -> list[int]:
+    """Integer weights in just the proportions of weights: of shares() if these are it, else of whatever size that takes."""
+    given = [Fraction(w) for w in weights]
+    short = shares(weights, parts)
+    if all(a * short[0] == given[0] * b for a, b in zip(given, short, strict=True)):
+        return short
+    scale = math.lcm(*(w.denominator for w in given))
+    whole = [int(w * scale) for w in given]
+    common = math.gcd(*whole)
+    return [w // common for w in whole]
+
+
 def segments(blocks: list[int], weights: list[float], parts: int) -> list[dict]:
-    """The schedule: for each segment its first slot, periods, slots of a period, and per source first block, weight and pattern."""
+    """The schedule: for each segment its first slot, periods, slots of a period, and per source first block and weight, the pattern, and the
+    slots in which each of its blocks is released and due."""
     left, start, out = list(blocks), 0, []
     while any(left):
         active = [s for s, n in enumerate(left) if n]
-        w = shares([weights[s] for s in active], parts)
+        w = exact([weights[s] for s in active], parts)
+        total = sum(w)
         times = min(left[s] // x for s, x in zip(active, w, strict=True))
         slots = period(w) if times else period(w, [left[s] for s in active])
+        windows = [(j * total // w[a], -(-(j + 1) * total // w[a])) for a, j in slots]
         had = [0] * len(active)
         pattern = []
         for t, (a, j) in enumerate(slots):
             pattern.append((active[a], j, t))
             had[a] = j + 1
-        out.append({"slot": start, "times": max(times, 1), "length": len(slots), "pattern": pattern, "sources": [(s, blocks[s] - left[s], had[i], sum(w), w[i]) for i, s in enumerate(active) if had[i]]})
+        out.append({"slot": start, "times": max(times, 1), "length": len(slots), "pattern": pattern, "windows": windows, "sources": [(s, blocks[s] - left[s], had[i], total, w[i]) for i, s in enumerate(active) if had[i]]})
         for i, s in enumerate(active):
             left[s] -= had[i] * max(times, 1)
         start += len(slots) * max(times, 1)
@@ -101,10 +118,10 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, parts:
     plan = segments([-(-n // block) for _, n in sizes], target, parts)
     spans, cells = [], []
     for k, g in enumerate(plan):
-        spans += [(k, s, first, first + had * g["times"], had, g["slot"], g["length"], total, w) for s, first, had, total, w in g["sources"]]
-        cells += [(k, s, j, t) for s, j, t in g["pattern"]]
-    spans = spark.createDataFrame(pd.DataFrame(spans, columns=["segment", "s", "first", "last", "had", "start", "length", "total", "w"]))
-    cells = spark.createDataFrame(pd.DataFrame(cells, columns=["segment", "s", "j", "t"]))
+        spans += [(k, s, first, first + had * g["times"], had, g["slot"], g["length"]) for s, first, had, *_ in g["sources"]]
+        cells += [(k, s, j, t, *window) for (s, j, t), window in zip(g["pattern"], g["windows"], strict=True)]
+    spans = spark.createDataFrame(pd.DataFrame(spans, columns=["segment", "s", "first", "last", "had", "start", "length"]))
+    cells = spark.createDataFrame(pd.DataFrame(cells, columns=["segment", "s", "j", "t", "from", "to"]))
     names = F.broadcast(spark.createDataFrame([(i, s) for i, (s, _) in enumerate(sizes)], "s long, name string"))  # at most MOST_SOURCES
     buckets = max(1, sum(n for _, n in sizes) // BUCKET)
     dealt = rows.join(names, rows["src"].eqNullSafe(names["name"])).withColumn("h", F.xxhash64("id", F.lit(7))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
@@ -117,8 +134,8 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, parts:
     blocks = placed.groupBy("s", "block").agg(F.count("*").alias("size"))
     at = blocks.join(spans, "s").where("block >= first and block < last")
     at = at.select("*", F.expr("(block - first) div had").alias("turn"), F.expr("(block - first) % had").alias("j")).join(cells, ["segment", "s", "j"])
-    b = F.col("turn") * F.col("had") + F.col("j")
-    at = at.select("s", "block", "segment", F.expr("(turn * had + j) * total div w").alias("released"), (-F.floor(-((b + 1) * F.col("total")) / F.col("w"))).alias("due"), (F.col("start") + F.col("turn") * F.col("length") + F.col("t")).alias("slot"))
+    turned = F.col("turn") * F.col("length")
+    at = at.select("s", "block", "segment", (turned + F.col("from")).alias("released"), (turned + F.col("to")).alias("due"), (F.col("start") + F.col("turn") * F.col("length") + F.col("t")).alias("slot"))
     out = placed.join(at, ["s", "block"])
     return out.select(F.col("id").alias(id_), F.col("src").alias(source), "block", F.col("segment").cast("int").alias("segment"), "released", "due", "slot", (F.col("slot") * block + F.col("nth") % block).alias("place"))
 

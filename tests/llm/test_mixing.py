@@ -66,3 +66,17 @@ def test_mixed_edge_cases(spark):
     assert mixed(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixed(df, {"a": 1.0})
+
+
+@pytest.mark.parametrize("sizes", [[2_000_000] + [int(400_000 / (i + 2)) + 1 for i in range(19)], [30_000] + [7 + i % 90 for i in range(2000)]])
+def test_deviation_from_irrational_targets(sizes):
+    weights = [n**0.5 for n in sizes]
+    blocks = [-(-n // 16) for n in sizes]
+    first = segments(blocks, weights, 1000)[0]
+    total, had, most = sum(weights), [0] * len(sizes), 0.0
+    slots = [(turn * first["length"] + t, s) for turn in range(first["times"]) for s, _, t in first["pattern"]]
+    for t, s in slots:
+        most = max(most, abs(had[s] - t * weights[s] / total), abs(had[s] + 1 - (t + 1) * weights[s] / total))  # furthest off before or after a block
+        had[s] += 1
+    assert len(slots) > 500 and most < 1 + 1e-6
+    assert all(abs(h - len(slots) * w / total) < 1 + 1e-6 for h, w in zip(had, weights, strict=True))
