@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import cut, drop_table
@@ -47,9 +47,9 @@ PIVOTS = 6
 
 def shared(cells: DataFrame) -> DataFrame:
     """The rows (columns of a key, and id) whose key more than one id has."""
-    same = Window.partitionBy(*[c for c in cells.columns if c != "id"])
-    both = cells.select("*", F.min("id").over(same).alias("_low"), F.max("id").over(same).alias("_high"))
-    return both.where("_low < _high").drop("_low", "_high")
+    key = [c for c in cells.columns if c != "id"]
+    several = cells.groupBy(*key).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(*key)
+    return cells.join(several, key)
 
 
 def grouped(cells: DataFrame, near: str, verified: Callable[[DataFrame], DataFrame], *key: str) -> DataFrame:
@@ -63,18 +63,17 @@ def grouped(cells: DataFrame, near: str, verified: Callable[[DataFrame], DataFra
     so a group of similar rows never makes all its pairs. Joins put out only pairs that meet near.
     """
     keys, rest = list(key), [c for c in cells.columns if c not in key]
-    cells = cut(cells)
-    same = Window.partitionBy(*keys)
+    cells = cut(cells)  # no key meets in one task: partial minima, and joins whose large keys Spark can split
     payload = [c for c in rest if c != "id"]
-    pivots = F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", *payload)).over(same) for i in range(PIVOTS)])
+    pivots = F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", *payload)) for i in range(PIVOTS)])
     met = F.expr(f"filter(pivots, p -> p.id != id and {near.format(a='p.', b='')})")
-    star = cells.select(*rest, pivots.alias("pivots")).select("id", F.explode(F.transform(met, lambda p: p["id"])).alias("p"))
+    star = cells.join(cells.groupBy(*keys).agg(pivots.alias("pivots")), keys).select("id", F.explode(F.transform(met, lambda p: p["id"])).alias("p"))
     star = star.select(F.least("id", "p").alias("x"), F.greatest("id", "p").alias("y"))
     star = cut(verified(star.distinct()).select("x", "y"))
     placed = cells.join(cut(components(star, "x", "y")), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    size = F.count("*").over(Window.partitionBy(*keys, "c"))
-    placed = placed.select("*", F.min("c").over(same).alias("low"), F.max("c").over(same).alias("high"), size.alias("m"))
-    placed = cut(placed.where("low < high").drop("low", "high"))
+    sizes = placed.groupBy(*keys, "c").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy(*keys).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(*keys)
+    placed = cut(placed.join(sizes.join(mixed, keys), [*keys, "c"]))
     a, b = (placed.select(*keys, "m", F.struct("c", *rest).alias(s)) for s in "ab")
     close = F.expr(near.format(a="a.", b="b."))
     one, many = F.col("m") == 1, F.col("m") > 1

@@ -21,6 +21,7 @@ Extra columns are not read. Long texts are taken whole.
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import cut, drop_table
 from attesta.llm.graph import grouped, shared
-from attesta.llm.textvec import Words, pieces, shingles
+from attesta.llm.textvec import pieces, shingles, words
 
 #: Counters of each of the sketch's two rows, and of each part in which a row is summed.
 WIDTH, PART = 1 << 18, 1 << 14
-#: Blocks of columns; the first one is multiplied before the others.
-BLOCKS = 8
+#: Blocks of columns.
+BLOCKS = 4
 PARITIES = 1024
 #: Longs of parities that travel with each cell.
 CARRIED = 8
@@ -49,8 +50,8 @@ def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sets(batch: pa.RecordBatch, k: int):
     """(first row, sets) for each piece of a batch's texts; a set is a sorted array of distinct hashes."""
     for first, texts in pieces(batch.column(1)):
-        w = Words(texts)
-        yield first, [np.unique(shingles(w.hash[w.offset[i] : w.offset[i + 1]], k)) for i in range(len(texts))]
+        w, at = words(texts)
+        yield first, [np.unique(shingles(w[at[i] : at[i + 1]], k)) for i in range(len(texts))]
 
 
 def column_counts(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
@@ -60,13 +61,9 @@ def column_counts(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
         total = np.zeros(2 * WIDTH, np.int64)
         for b in batches:
             for _, texts in pieces(b.column(0)):
-                w = Words(texts)
-                for i in range(len(texts)):
-                    a, c = _cells(shingles(w.hash[w.offset[i] : w.offset[i + 1]], k))
-                    total += np.bincount(np.concatenate((a, c + WIDTH)), minlength=2 * WIDTH) if len(a) > WIDTH else 0
-                    if len(a) <= WIDTH:
-                        np.add.at(total, a, 1)
-                        np.add.at(total, c + WIDTH, 1)
+                w, at = words(texts)
+                a, c = _cells(np.concatenate([shingles(w[at[i] : at[i + 1]], k) for i in range(len(texts))]))
+                total += np.bincount(np.concatenate((a, c + WIDTH)), minlength=2 * WIDTH)
         parts = total.reshape(-1, PART)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<i4" if p.max() < 2**31 else "<i8").tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
@@ -111,24 +108,27 @@ def profiles(docs: DataFrame, k: int, percent: int, id_: str = "doc_id", text: s
 
 
 def blocks(docs: DataFrame, k: int) -> DataFrame:
-    """The rows of the incidence matrix, cut into BLOCKS parts by the n-gram's hash: id, n, block, grams.
+    """The rows of the incidence matrix, cut into BLOCKS parts by the n-gram's hash: id, n, g0, g1, ...
 
     docs: id, text, key; of the rows with an id, the one whose set has that key counts.
     """
+    names = [f"g{j}" for j in range(BLOCKS)]
+    step = (1 << 64) // BLOCKS
 
     def of(batches):
+        longs = pa.list_(pa.int64())
         for b in batches:
             ids, keys = b.column(0).to_pylist(), b.column(2).to_pylist()
             for at, sets in _sets(b, k):
                 out = []
                 for row, s in enumerate(sets, at):
                     if len(s) and blake2b(s.tobytes(), digest_size=16).digest() == keys[row]:
-                        ends = np.searchsorted(s, np.arange(1, BLOCKS, dtype=np.uint64) << _U(61))
-                        out += [(ids[row], len(s), j, g.view(np.int64)) for j, g in enumerate(np.split(s, ends))]
-                columns = list(zip(*out, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["id", "n", "block", "grams"])
+                        ends = np.searchsorted(s, np.arange(1, BLOCKS, dtype=np.uint64) * _U(step))
+                        out.append((ids[row], len(s), *(g.view(np.int64) for g in np.split(s, ends))))
+                columns = list(zip(*out, strict=True)) or [[]] * (BLOCKS + 2)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64()] + [longs] * BLOCKS, strict=True)], ["id", "n", *names])
 
-    return docs.mapInArrow(of, "id long, n long, block int, grams array<long>")
+    return docs.mapInArrow(of, "id long, n long, " + ", ".join(f"{g} array<long>" for g in names))
 
 
 def _need(percent: int) -> str:
@@ -137,16 +137,15 @@ def _need(percent: int) -> str:
 
 
 def product(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (x, y) that reach the similarity, with their overlap."""
-    part = lambda j: rows.where(f"block {j}")
-    side = lambda df, s: df.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("block"), F.col("grams").alias(f"g{s}"))
-    first = pairs.join(side(part("= 0"), "x").drop("block"), "x").join(side(part("= 0"), "y").drop("block"), "y")
-    first = first.select("x", "y", "nx", "ny", F.size(F.array_intersect("gx", "gy")).cast("long").alias("i"), F.size("gx").alias("ax"), F.size("gy").alias("ay"))
-    first = cut(first.where(f"i + least(nx - ax, ny - ay) >= {_need(percent)}").select("x", "y", "nx", "ny", "i"))
-    rest = first.select("x", "y").join(side(part("> 0"), "x").drop("nx"), "x").join(side(part("> 0"), "y").drop("ny"), ["y", "block"])
-    rest = rest.select("x", "y", F.size(F.array_intersect("gx", "gy")).cast("long").alias("i"))
-    every = first.select("x", "y", "nx", "ny", "i").union(rest.join(first.select("x", "y", "nx", "ny"), ["x", "y"]).select("x", "y", "nx", "ny", "i"))
-    return every.groupBy("x", "y", "nx", "ny").agg(F.sum("i").alias("overlap")).where(f"100 * overlap >= {percent} * (nx + ny - overlap)")
+    """Those of pairs (x, y) that reach the similarity, with their overlap: block by block, and after each block only pairs that still can."""
+    size = lambda s: rows.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("n").alias(f"left{s}"))
+    found = pairs.join(size("x"), "x").join(size("y"), "y").withColumn("i", F.lit(0).cast("long"))
+    for j in range(BLOCKS):
+        side = lambda s, j=j: rows.select(F.col("id").alias(s), F.col(f"g{j}").alias(f"g{s}"))
+        found = found.join(side("x"), "x").join(side("y"), "y")
+        found = found.select("x", "y", "nx", "ny", *[(F.col(f"left{s}") - F.size(f"g{s}")).alias(f"left{s}") for s in "xy"], (F.col("i") + F.size(F.array_intersect("gx", "gy"))).alias("i"))
+        found = found.where(f"i + least(leftx, lefty) >= {_need(percent)}")
+    return found.select("x", "y", "nx", "ny", F.col("i").alias("overlap"))
 
 
 class NgramJoin:
@@ -159,7 +158,9 @@ class NgramJoin:
         first = F.min(F.struct("id", "n", "head", "parity")).alias("first")
         #: One node for each distinct set: its smallest id.
         self.nodes = cut(self.docs.where("id is not null and n > 0").groupBy("key").agg(first).select("key", "first.*"))
-        carried = [F.col("parity")[i].alias(f"p{i}") for i in range(CARRIED)]
+        # Folded, the carried parities still tell of every column.
+        fold = lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [F.col("parity")[j] for j in range(i, PARITIES // 64, CARRIED)])
+        carried = [fold(i).alias(f"p{i}") for i in range(CARRIED)]
         cells = shared(self.nodes.select(F.explode("head").alias("gram"), "id"))
         #: The cells of the columns that more than one node has, with the nodes' sizes and first parities.
         self.cells = cells.join(self.nodes.select("id", "n", *carried), "id")

@@ -1,13 +1,17 @@
 """Words and shingles of many texts at once, as 64-bit hashes in numpy arrays.
 
 A word is a run of bytes outside [\\x20\\x09-\\x0D], after A-Z are lower-cased; both are
-plain byte operations, so UTF-8 needs no decoding. A word's hash is a difference of prefix
-sums of table[byte] * base**position modulo 2**64, brought back to position 0 by the inverse power.
+plain byte operations, so UTF-8 needs no decoding. Two hashes of a word are offered:
+
+- words(): 64 bits of BLAKE2b, for where a word's identity decides a result; each worker remembers those of words it has met.
+- Words: a difference of prefix sums of table[byte] * base**position modulo 2**64, brought back to position 0 by the inverse
+  power; quick for any part of a word, but texts can be made of which it confuses words, so only features are hashed by it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +67,33 @@ class Words:
         self.hash = hash_bytes(buf, self.start, self.end)
 
 
+#: Words whose hash a worker remembers before it starts anew, and the longest one.
+REMEMBERED, LONGEST = 400_000, 64
+_seen: dict[bytes, int] = {}
+
+
+def _identity(word: bytes) -> int:
+    h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+    if len(word) <= LONGEST:
+        _seen[word] = h
+    return h
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and offsets of each text's."""
+    if len(_seen) > REMEMBERED:
+        _seen.clear()
+    get, out, sizes = _seen.get, [], [0]
+    for t in texts:
+        w = t.lower().split()  # of bytes: A-Z, and just these blanks
+        h = list(map(get, w))
+        if None in h:
+            h = [_identity(w[i]) if x is None else x for i, x in enumerate(h)]
+        out += h
+        sizes.append(len(h))
+    return np.array(out, np.uint64), np.cumsum(sizes)
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words, in order; of the whole sequence where it is shorter."""
     if not len(words):
@@ -91,11 +122,12 @@ def held(key: str, make):
 def let_go() -> None:
     """A worker that goes on to other work frees what it held."""
     _held.clear()
+    _seen.clear()
 
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about PIECE bytes, each with the index of its first text; null counts as empty."""
-    let_go()
+    _held.clear()
     texts = column.cast(pa.large_binary()).to_pylist()
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):

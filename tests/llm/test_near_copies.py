@@ -118,3 +118,26 @@ def test_blocks_of_one_hash_are_told_apart(spark, monkeypatch):
     rows = [(1, "abcdef"), (2, "abcxyz"), (3, "abc def"), (4, "xyzdef")]
     got = {r.doc_id: r.keep_id for r in exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=3).collect()}
     assert got == {1: 3, 2: 2, 3: 3, 4: 4}
+
+
+def test_words_that_confuse_polynomial_hashes_differ(spark):
+    morse = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    rows = [(1, morse + " x y"), (2, morse.translate(str.maketrans("ab", "ba")) + " x y"), (3, morse + " x y")]
+    assert run(spark, rows) == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+
+
+def test_a_large_group_just_below_the_bound_makes_few_candidates(spark):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(400):  # each pair of them differs in about eight words of 150
+        text = list(base)
+        for j in rng.sample(range(150), 4):
+            text[j] = f"e{i}x{j}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join = NgramJoin(docs)
+    a, b = join.cells.alias("a"), join.cells.alias("b")
+    near = a.join(b, "gram").where("a.id < b.id").where(join.near.format(a="a.", b="b."))
+    assert near.select("a.id", "b.id").distinct().count() < 400 * 399 / 2 / 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(docs).collect()} == brute(rows)[0]
