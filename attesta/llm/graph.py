@@ -46,34 +46,45 @@ PIVOTS = 6
 
 
 def shared(cells: DataFrame) -> DataFrame:
-    """The rows (columns of a key, and id) whose key more than one id has."""
+    """The rows (columns of a key, and id) whose key more than one id has; an id has a key once."""
     key = [c for c in cells.columns if c != "id"]
-    several = cells.groupBy(*key).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(*key)
-    return cells.join(several, key)
+    return cells.join(cells.groupBy(*key).count().where("count > 1").select(*key), key)
 
 
-def grouped(cells: DataFrame, near: str, verified: Callable[[DataFrame], DataFrame], *key: str) -> DataFrame:
+def grouped(
+    cells: DataFrame,
+    near: str,
+    verified: Callable[[DataFrame], DataFrame],
+    *key: str,
+    pivots: int = PIVOTS,
+    whole: Callable[[DataFrame], tuple[DataFrame, str]] | None = None,
+) -> DataFrame:
     """Connected components (id, component) of the verified pairs among ids that share a key.
 
     cells: the columns of key, id, and whatever near reads: a condition on a pair of rows, {a}column and {b}column, that every
     linked pair meets. verified: from pairs (x, y) to those that are linked, as x and y.
-    In each key the ids are first compared with PIVOTS of them, components are formed, and then only ids that still lie in different
+    In each key the ids are first compared with a few pivots, components are formed, and then only ids that still lie in different
     components are compared: in each key single ids with one another and with larger components, and larger components
     pair by pair. In a group of which each member is linked to a share of the others, hardly one is left after the pivots;
-    so a group of similar rows never makes all its pairs. Joins put out only pairs that meet near.
+    so a group of similar rows never makes all its pairs. Joins put out only pairs that meet near. whole: from the cells of the second
+    comparison to the same with whatever an exact condition on a pair reads, and that condition; then joins put out linked pairs only.
     """
     keys, rest = list(key), [c for c in cells.columns if c not in key]
     cells = cut(cells)  # no key meets in one task: partial minima, and joins whose large keys Spark can split
     payload = [c for c in rest if c != "id"]
-    pivots = F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", *payload)) for i in range(PIVOTS)])
+    first = F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", *payload)) for i in range(pivots)])
     met = F.expr(f"filter(pivots, p -> p.id != id and {near.format(a='p.', b='')})")
-    star = cells.join(cells.groupBy(*keys).agg(pivots.alias("pivots")), keys).select("id", F.explode(F.transform(met, lambda p: p["id"])).alias("p"))
+    star = cells.join(cells.groupBy(*keys).agg(first.alias("pivots")), keys).select("id", F.explode(F.transform(met, lambda p: p["id"])).alias("p"))
     star = star.select(F.least("id", "p").alias("x"), F.greatest("id", "p").alias("y"))
     star = cut(verified(star.distinct()).select("x", "y"))
-    placed = cells.join(cut(components(star, "x", "y")), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    of_star = cut(components(star, "x", "y"))
+    placed = cells.join(of_star, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     sizes = placed.groupBy(*keys, "c").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy(*keys).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(*keys)
     placed = cut(placed.join(sizes.join(mixed, keys), [*keys, "c"]))
+    if whole is not None:
+        placed, near = whole(placed)
+        rest = [c for c in placed.columns if c not in (*keys, "c", "m")]
     a, b = (placed.select(*keys, "m", F.struct("c", *rest).alias(s)) for s in "ab")
     close = F.expr(near.format(a="a.", b="b."))
     one, many = F.col("m") == 1, F.col("m") > 1
@@ -84,5 +95,10 @@ def grouped(cells: DataFrame, near: str, verified: Callable[[DataFrame], DataFra
     apart = large.withColumnRenamed("c", "ca").join(large.withColumnRenamed("c", "cb"), keys).where("ca < cb")
     left, right = a.where(many).withColumn("ca", F.col("a.c")).drop("m"), b.where(many).withColumn("cb", F.col("b.c")).drop("m")
     pairs = pairs.union(apart.join(left, [*keys, "ca"]).join(right, [*keys, "cb"]).where(close).select(*ends))
-    more = cut(verified(pairs.distinct()).select("x", "y"))
-    return components(star.union(more), "x", "y")
+    more = cut((pairs if whole is not None else verified(pairs.distinct())).select("x", "y"))
+    # The components of the pivots' links are nodes now, by their smallest id.
+    for end in "xy":
+        more = more.join(of_star.select(F.col("id").alias(end), F.col("component").alias("c")), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    joined = cut(components(more, "x", "y"))
+    out = of_star.select("id", F.col("component").alias("c")).join(joined.withColumnRenamed("id", "c"), "c", "left").select("id", F.coalesce("component", "c").alias("component"))
+    return out.union(joined.join(of_star.select("id"), "id", "left_anti").select("id", "component"))

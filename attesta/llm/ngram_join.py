@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import cut, drop_table
 from attesta.llm.graph import grouped, shared
-from attesta.llm.textvec import pieces, shingles, words
+from attesta.llm.textvec import Words, pieces, shingles
 
 #: Counters of each of the sketch's two rows, and of each part in which a row is summed.
 WIDTH, PART = 1 << 18, 1 << 14
@@ -50,8 +50,8 @@ def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sets(batch: pa.RecordBatch, k: int):
     """(first row, sets) for each piece of a batch's texts; a set is a sorted array of distinct hashes."""
     for first, texts in pieces(batch.column(1)):
-        w, at = words(texts)
-        yield first, [np.unique(shingles(w[at[i] : at[i + 1]], k)) for i in range(len(texts))]
+        w = Words(texts)
+        yield first, [np.unique(shingles(w.hash[w.offset[i] : w.offset[i + 1]], k)) for i in range(len(texts))]
 
 
 def column_counts(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
@@ -61,8 +61,8 @@ def column_counts(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
         total = np.zeros(2 * WIDTH, np.int64)
         for b in batches:
             for _, texts in pieces(b.column(0)):
-                w, at = words(texts)
-                a, c = _cells(np.concatenate([shingles(w[at[i] : at[i + 1]], k) for i in range(len(texts))]))
+                w = Words(texts)
+                a, c = _cells(np.concatenate([shingles(w.hash[w.offset[i] : w.offset[i + 1]], k) for i in range(len(texts))]))
                 total += np.bincount(np.concatenate((a, c + WIDTH)), minlength=2 * WIDTH)
         parts = total.reshape(-1, PART)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<i4" if p.max() < 2**31 else "<i8").tobytes() for p in parts], pa.binary())], ["part", "counts"])

@@ -1,41 +1,43 @@
 """Words and shingles of many texts at once, as 64-bit hashes in numpy arrays.
 
 A word is a run of bytes outside [\\x20\\x09-\\x0D], after A-Z are lower-cased; both are
-plain byte operations, so UTF-8 needs no decoding. Two hashes of a word are offered:
-
-- words(): 64 bits of BLAKE2b, for where a word's identity decides a result; each worker remembers those of words it has met.
-- Words: a difference of prefix sums of table[byte] * base**position modulo 2**64, brought back to position 0 by the inverse
-  power; quick for any part of a word, but texts can be made of which it confuses words, so only features are hashed by it.
+plain byte operations, so UTF-8 needs no decoding. A word's hash is the value of the polynomial of its bytes in two prime fields: a
+difference of prefix sums of (byte + 1) * base**position, brought back to position 0 by the inverse power. In a field two
+words agree at no more bases than they have bytes, whatever their pattern (modulo 2**64 there are words that agree at every base).
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240101))
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = int(_rng.integers(1, 2**61)) * 8 + 5
+#: Primes under 2**31, each with the base of its polynomials.
+FIELDS = [(2147483647, 1_234_977_913), (2147483629, 987_654_329)]
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
-_power = _inverse = np.ones(1, np.uint64)
+_powers_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text that are hashed at once; bounds the working arrays (a longer text is taken alone).
 PIECE = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _power, _inverse
-    if len(_power) < n:
-        n = max(n, PIECE + PIECE // 4)
-        a, b = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-        a[0] = b[0] = 1
-        _power, _inverse = np.multiply.accumulate(a), np.multiply.accumulate(b)
-    return _power, _inverse
+def _powers(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers (or more) of the base, and of its inverse."""
+    if prime not in _powers_of or len(_powers_of[prime][0]) < n:
+        tables = []
+        for x in (base, pow(base, -1, prime)):
+            t = np.ones(1, np.uint64)
+            while len(t) < max(n, PIECE + PIECE // 4):
+                t = np.concatenate((t, t * _U(pow(x, len(t), prime)) % _U(prime)))
+            tables.append(t)
+        _powers_of[prime] = tuple(tables)
+    return _powers_of[prime]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,11 +48,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def hash_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    power, inverse = _powers(len(buf))
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_TABLE[buf] * power[: len(buf)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start])
+    """Hashes of the bytes from each start to its end; starts ascend."""
+    out, first = np.empty(len(start), np.uint64), 0
+    while first < len(start):  # runs of about PIECE bytes
+        low = int(start[first])
+        last = max(int(np.searchsorted(start, low + PIECE)), first + 1)
+        high = max(int(end[first:last].max()), low)
+        a, z = start[first:last] - low, end[first:last] - low
+        digits, parts = buf[low:high].astype(np.uint64) + _U(1), []
+        for prime, base in FIELDS:
+            power, inverse = _powers(high - low + 1, prime, base)
+            sums = np.zeros(high - low + 1, np.uint64)
+            terms = digits * power[: high - low]
+            if high - low > 1 << 24:  # else sums stay under 2**64
+                terms %= _U(prime)
+            np.cumsum(terms, out=sums[1:])
+            parts.append((sums[z] - sums[a]) % _U(prime) * inverse[a] % _U(prime))
+        out[first:last] = mix(parts[0] | parts[1] << _U(31))
+        first = last
+    return out
 
 
 class Words:
@@ -67,33 +83,6 @@ class Words:
         self.hash = hash_bytes(buf, self.start, self.end)
 
 
-#: Words whose hash a worker remembers before it starts anew, and the longest one.
-REMEMBERED, LONGEST = 400_000, 64
-_seen: dict[bytes, int] = {}
-
-
-def _identity(word: bytes) -> int:
-    h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-    if len(word) <= LONGEST:
-        _seen[word] = h
-    return h
-
-
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, one after another, and offsets of each text's."""
-    if len(_seen) > REMEMBERED:
-        _seen.clear()
-    get, out, sizes = _seen.get, [], [0]
-    for t in texts:
-        w = t.lower().split()  # of bytes: A-Z, and just these blanks
-        h = list(map(get, w))
-        if None in h:
-            h = [_identity(w[i]) if x is None else x for i, x in enumerate(h)]
-        out += h
-        sizes.append(len(h))
-    return np.array(out, np.uint64), np.cumsum(sizes)
-
-
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words, in order; of the whole sequence where it is shorter."""
     if not len(words):
@@ -120,14 +109,16 @@ def held(key: str, make):
 
 
 def let_go() -> None:
-    """A worker that goes on to other work frees what it held."""
-    _held.clear()
-    _seen.clear()
+    """A worker that goes on to other work frees what it held, down to the system."""
+    if _held:
+        _held.clear()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about PIECE bytes, each with the index of its first text; null counts as empty."""
-    _held.clear()
+    let_go()
     texts = column.cast(pa.large_binary()).to_pylist()
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):
