@@ -197,3 +197,39 @@ def test_line_recall_against_edit_distance_alone(spark):
     missed = [n for n, (a, f) in enumerate(zip(alike, found, strict=True)) if a and not f]
     assert not [n for n in missed if len(pairs[n][0]) < 50 and len(pairs[n][1]) < 50]  # short lines: every pair
     assert len(missed) <= 3, [pairs[n] for n in missed]
+
+
+def test_lines_with_one_word_changed_always_meet(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(1, 9)))
+    pairs = []
+    while len(pairs) < 300:
+        w = [word() for _ in range(rng.randrange(4, 40))]
+        x, i = list(w), rng.randrange(len(w))
+        x[i : i + 1] = rng.choice([[], [w[i] + "z"], [w[i], "y"], [w[i][:-1] + "q"]])
+        a, b = " ".join(w), " ".join(x)
+        if a != b and distance(a, b) <= 0.1 * max(len(a), len(b)):
+            pairs.append((a, b))
+    rows = [(2 * n + k, t) for n, p in enumerate(pairs) for k, t in enumerate(p)]
+    group = {r.doc_id: r.group_doc for r in line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [p for n, p in enumerate(pairs) if group[2 * n] != group[2 * n + 1]]
+    assert not [p for p in missed if len(set(p[0].split())) >= 5 and len(set(p[1].split())) >= 5] and len(missed) <= 3, missed
+
+
+def test_line_recall_on_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    groups = {}
+    for r in line_groups(docs).collect():
+        groups[r.doc_id, r.line] = (r.group_doc, r.group_line)
+    first = {}
+    for r in docs.collect():
+        for n, x in enumerate((r.text or "").split("\n")):
+            first.setdefault(" ".join(x.lower().split()), (r.doc_id, n))
+    first.pop("", None)
+    lines = spark.createDataFrame([(t, *at) for t, at in first.items()], "t string, d long, n int").withColumn("s", F.length("t")).repartition(16)
+    a, b = lines.alias("a"), F.broadcast(lines).alias("b")
+    near = "a.t < b.t and least(a.s, b.s) >= 0.9 * greatest(a.s, b.s) and levenshtein(a.t, b.t, cast(floor(0.1 * greatest(a.s, b.s) + 1e-9) as int)) >= 0"
+    links = a.join(b, F.expr(near)).select("a.d", "a.n", "b.d", "b.n").collect()
+    found = [groups[r[0], r[1]] == groups[r[2], r[3]] for r in links]
+    assert len(found) > 20 and sum(found) >= 0.9 * len(found), (sum(found), len(found))
+    print("lines", len(first), "links", len(found), "found", sum(found))
