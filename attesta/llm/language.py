@@ -14,7 +14,7 @@ does not depend on the size of the table. More than MOST_LANGUAGES declared lang
 
 Nulls: a null text counts as empty; a text without letters is 'und' and rejected. A null declaration, host or suffix
 is a value like others. Ties go to the language first in the alphabet. Repeated rows count each time. An empty
-table gives no rows. Extra columns are kept by identified() and not read.
+table gives no rows. Extra columns are kept by identified(), whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -22,17 +22,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import fresh
+from attesta.llm.common import cut, fresh, small
 from attesta.llm.textvec import PIECE, let_go
 
 #: Rows of a declared language, on average; and declared languages.
 MOST_TRAINED = 4000
-MOST_LANGUAGES = 1000
+MOST_LANGUAGES = 100
 WEIGHT = 60.0
 #: Rows' worth of a parent's shares in a host's and a suffix's; and of an even spread in a declaration's.
 SMOOTH = 20.0
@@ -123,77 +122,81 @@ def fitted(rows: DataFrame, text: str, declared: Column, key: Column) -> TextMod
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(n), pa.string()), pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["d", "cell", "n"])
 
     cells = some.join(last, "d").where("h <= last").select("d", "t").mapInArrow(count, "d string, cell long, n long").groupBy("d", "cell").agg(F.sum("n").alias("n"))
-    counts: dict[str, np.ndarray] = {}
-    for r in cells.collect():  # at most DIM cells a language
-        counts.setdefault(r.d, np.zeros(DIM))
-        if r.cell >= 0:
-            counts[r.d][r.cell] = r.n
+    got = cells.toArrow()  # at most DIM + 1 cells a language
+    d, cell, n = np.array(got.column("d").to_pylist(), object), got.column("cell").to_numpy(), got.column("n").to_numpy()
+    counts = {}
+    for x in sizes:
+        some = (d == x) & (cell >= 0)
+        if (d == x).any():
+            counts[x] = np.bincount(cell[some], n[some].astype(float), DIM)
     return TextModel.of_counts(counts, sizes)
 
 
-def fused(rows: DataFrame, model: TextModel, text: str, declared: Column, host: Column, suffix: Column) -> DataFrame:
-    """rows with one more column 'evidence': struct(language, posterior, text_language, has_text)."""
+def fused(rows: DataFrame, model: TextModel, text: str, declared: Column, host: Column, suffix: Column | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The columns of rows (all where none are named) and one more, 'evidence': struct(language, posterior, text_language, has_text).
+
+    Each text is scored once: rows are written with their scores, and only these are read again for the sums.
+    Without a suffix a host's parent is the whole table.
+    """
     names, k = model.languages, len(model.languages)
     given = rows.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def scores(t: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def scores(texts: pa.Array) -> pa.Array:
         let_go()
-        texts = [x.encode() if x else b"" for x in t]
-        return pd.Series(list(given.value.scores(texts)))
+        table = given.value.scores([t or b"" for t in texts.cast(pa.large_binary()).to_pylist()])
+        return pa.ListArray.from_arrays(pa.array(range(0, table.size + 1, k), pa.int32()), pa.array(table.ravel()))
 
-    ll, soft, d, h, s = fresh(rows, "ll_", "soft_", "declared_", "host_", "suffix_")
+    columns = rows.columns if columns is None else columns
+    ll, soft, d, h, s, hn, hp, sp, joint, s2, h2 = fresh(rows.select(*columns), "ll", "soft", "declared", "host", "suffix", "hn", "hp", "sp", "joint", "of_suffix", "of_host")
     known = F.when(declared.isin(names[:-1]), declared).when(declared.isNull() | (declared == ""), F.lit("none")).otherwise(F.lit("other"))
     col = lambda c: F.col(f"`{c}`")
-    base = rows.withColumn(d, known).withColumn(h, F.coalesce(host, F.lit(""))).withColumn(s, F.coalesce(suffix, F.lit(""))).withColumn(ll, scores(text))
-    top = F.array_max(col(ll))
-    expo = F.transform(col(ll), lambda x: F.exp(x - top))
-    base = base.withColumn(soft, F.when(F.exists(col(ll), lambda x: x != 0), F.transform(expo, lambda x: x / F.aggregate(expo, F.lit(0.0), lambda a, b: a + b))))
-    has = base.where(col(soft).isNotNull())
+    own_suffix = F.lit("") if suffix is None else F.coalesce(suffix, F.lit(""))
+    base = cut(rows.select(*map(col, columns), known.alias(d), F.coalesce(host, F.lit("")).alias(h), own_suffix.alias(s), scores(col(text)).alias(ll)))
+    expo = F.transform(col(ll), lambda x: F.exp(x - F.array_max(col(ll))))
+    shares = F.when(F.exists(col(ll), lambda x: x != 0), F.transform(expo, lambda x: x / F.aggregate(expo, F.lit(0.0), lambda a, b: a + b)))
     sums = [F.sum(col(soft)[i]).alias(f"p{i}") for i in range(k)]
-    groups = has.groupBy(d, s, h).agg(F.count("*").alias("n"), *sums)
+    # A row for each host: every other sum is of these.
+    groups = cut(base.select(d, h, s, shares.alias(soft)).where(col(soft).isNotNull()).groupBy(F.col(d).alias("d"), F.col(s).alias("s"), F.col(h).alias("h")).agg(F.count("*").alias("n"), *sums))
     # A declaration is one of the languages, 'none' or 'other'.
-    by_declared = {r[d]: [r[f"q{i}"] for i in range(k)] for r in groups.groupBy(d).agg(*[F.sum(f"p{i}").alias(f"q{i}") for i in range(k)]).collect()}
+    by_declared = {r["d"]: [r[f"q{i}"] for i in range(k)] for r in groups.groupBy("d").agg(*[F.sum(f"p{i}").alias(f"q{i}") for i in range(k)]).collect()}
     totals = np.array([*by_declared.values(), np.zeros(k)]).sum(axis=0)
     prior = (totals + 1) / (totals + 1).sum()
     values = [*names[:-1], "none", "other"]
     says = {v: np.log((np.array(by_declared.get(v, np.zeros(k))) + SMOOTH / len(values) * (1 + 4 * (np.array(names) == v))) / (totals + SMOOTH)) for v in values}
-    of_suffix = groups.groupBy(s).agg(F.sum("n").alias("sn"), *[F.sum(f"p{i}").alias(f"s{i}") for i in range(k)])
-    of_host = groups.groupBy(s, h).agg(F.sum("n").alias("hn"), *[F.sum(f"p{i}").alias(f"h{i}") for i in range(k)])
-    hosts = of_host.join(of_suffix, s).select(s, h, "hn", F.array(*[f"h{i}" for i in range(k)]).alias("hp"), F.array(*[(F.col(f"s{i}") + SMOOTH * float(prior[i])) / (F.col("sn") + SMOOTH) for i in range(k)]).alias("sp"))
-    hn, hp, sp = fresh(base, "hn", "hp", "sp")
-    hosts = hosts.select(F.col(s).alias("_s"), F.col(h).alias("_h"), F.col("hn").alias(hn), F.col("hp").alias(hp), F.col("sp").alias(sp))
-    joined = base.join(hosts, (col(s) == F.col("_s")) & (col(h) == F.col("_h")), "left").drop("_s", "_h")
+    hosts = groups.groupBy("s", "h").agg(F.sum("n").alias("hn"), *[F.sum(f"p{i}").alias(f"h{i}") for i in range(k)])
+    parent = [F.lit(float(prior[i])) for i in range(k)]
+    if suffix is not None:
+        hosts = hosts.join(groups.groupBy("s").agg(F.sum("n").alias("sn"), *[F.sum(f"p{i}").alias(f"s{i}") for i in range(k)]), "s")
+        parent = [(F.col(f"s{i}") + SMOOTH * float(prior[i])) / (F.col("sn") + SMOOTH) for i in range(k)]
+    hosts = small(hosts.select(F.col("s").alias(s2), F.col("h").alias(h2), F.col("hn").alias(hn), F.array(*[f"h{i}" for i in range(k)]).alias(hp), F.array(*parent).alias(sp)))
+    joined = base.withColumn(soft, shares).join(hosts, (col(s) == col(s2)) & (col(h) == col(h2)), "left")
     own = lambda i: F.coalesce(col(soft)[i], F.lit(0.0))
-    one = F.when(col(soft).isNull(), 0.0).otherwise(1.0)
+    has_text = col(soft).isNotNull()
     declared_log = F.create_map(*[x for v in values for x in (F.lit(v), F.array(*[F.lit(float(p)) for p in says[v]]))])
 
     def total(i: int) -> Column:
-        parent = F.coalesce(col(sp)[i], F.lit(float(prior[i])))
-        share = (F.coalesce(col(hp)[i], F.lit(0.0)) - own(i) + SMOOTH * parent) / (F.coalesce(col(hn), F.lit(0)) - one + SMOOTH)
+        above = F.coalesce(col(sp)[i], F.lit(float(prior[i])))
+        share = (F.coalesce(col(hp)[i], F.lit(0.0)) - own(i) + SMOOTH * above) / (F.coalesce(col(hn), F.lit(0)) - F.when(has_text, 1.0).otherwise(0.0) + SMOOTH)
         return F.coalesce(col(ll)[i], F.lit(0.0)) + F.log(F.greatest(share, F.lit(1e-12))) + declared_log[col(d)][i]
 
-    joint = F.array(*[total(i) for i in range(k)])
     languages = F.array(*map(F.lit, names))
-    best = F.array_max(F.col("j_"))
+    first = lambda c: F.when(has_text, languages[(F.array_position(col(c), F.array_max(col(c))) - 1).cast("int")]).otherwise(F.lit(UND))
     evidence = F.struct(
-        F.when(F.col("t_"), languages[(F.array_position("j_", best) - 1).cast("int")]).otherwise(F.lit(UND)).alias("language"),
-        (1.0 / F.aggregate(F.transform("j_", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, b: a + b)).alias("posterior"),
-        F.when(F.col("t_"), languages[(F.array_position("l_", F.array_max("l_")) - 1).cast("int")]).otherwise(F.lit(UND)).alias("text_language"),
-        F.col("t_").alias("has_text"),
+        first(joint).alias("language"),
+        (1.0 / F.aggregate(F.transform(col(joint), lambda x: F.exp(x - F.array_max(col(joint)))), F.lit(0.0), lambda a, b: a + b)).alias("posterior"),
+        first(ll).alias("text_language"),
+        has_text.alias("has_text"),
     )
-    full = joined.withColumn("j_", joint).withColumn("t_", col(soft).isNotNull()).withColumn("l_", col(ll))
-    return full.withColumn("evidence", evidence).select(*rows.columns, "evidence")
+    return joined.withColumn(joint, F.array(*[total(i) for i in range(k)])).select(*map(col, columns), evidence.alias("evidence"))
 
 
-def identified(docs: DataFrame, model: TextModel | None = None, id_: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """docs and 'evidence'; the lang column is the declaration and the source the host."""
-    rows = docs
-    if clash := [c for c in docs.columns if c.lower() == "evidence"]:
-        rows = docs.drop(*clash)
+def identified(docs: DataFrame, model: TextModel | None = None, id_: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", columns: list[str] | None = None) -> DataFrame:
+    """docs (or the given columns of them) and 'evidence', in place of a column of that name; the lang column is the declaration, the source the host."""
+    rows = docs.drop(*[c for c in docs.columns if c.lower() == "evidence"])
     declared = F.nullif(F.lower(F.trim(F.col(lang))), F.lit(""))
     model = model or fitted(rows, text, declared, F.col(id_))
-    return fused(rows, model, text, declared, F.col(source).cast("string"), F.lit(""))
+    return fused(rows, model, text, declared, F.col(source).cast("string"), columns=columns)
 
 
 def kept() -> Column:
@@ -207,4 +210,5 @@ def page_languages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", F.regexp_replace(html, drop, " ").alias("text"), F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)), F.lit("")).alias("declared"), host.alias("host"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"))
     model = fitted(rows, "text", F.col("declared"), F.col("page_id"))
-    return fused(rows, model, "text", F.col("declared"), F.col("host"), F.col("suffix")).select("page_id", "declared", "host", "suffix", "evidence.language", "evidence.posterior")
+    found = fused(rows, model, "text", F.col("declared"), F.col("host"), F.col("suffix"), ["page_id", "declared", "host", "suffix"])
+    return found.select("page_id", "declared", "host", "suffix", "evidence.language", "evidence.posterior")

@@ -56,7 +56,7 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = identified(table(spark, sf_dir, "documents"))
+    docs = identified(table(spark, sf_dir, "documents"), columns=["doc_id", "lang"])
     return docs.select("doc_id", F.col("lang").alias("declared"), "evidence.language", "evidence.posterior", "evidence.text_language", kept().alias("kept"))
 
 
