@@ -36,6 +36,8 @@ from attesta.llm.tokens import encoder
 #: Ids of a file, but for the document that crosses it.
 SHARD = 1 << 18
 SAMPLE = 256
+#: Bytes of text of a task, on average, at most.
+RANGE = 64 << 20
 _HEAD = struct.Struct("<4sHHQQQB")
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -181,7 +183,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, order
             yield full()
 
     keys = order or [F.col(id_)]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE + 1)
     run = docs.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = run.mapInArrow(files, "part long, shard long, n_docs long, n_tokens long, file binary")
     out.write.option("parquet.block.size", 8 << 20).parquet(path)
@@ -195,7 +198,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for part, shard, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 f = TokenFile(raw)
-                ends = f.ends.all().tolist()
+                ends = [f.ends.select(i) for i in range(f.n)]
                 bounds = list(zip([0, *ends], ends, strict=False))
                 sums = [zlib.crc32(f.ids[a:e].astype("<u4").tobytes()) for a, e in bounds]
                 yield pa.RecordBatch.from_arrays(

@@ -1,11 +1,14 @@
 """Token ids of texts by the tokenizers library, with a cache of pieces between spaces and line ends.
 
 A byte-level BPE splits a text before it merges, and always before a space or a line feed that stands between two
-characters that are not white space. Pieces cut there can be encoded one by one, and most of them recur.
+characters that are not white space. Pieces cut there can be encoded one by one, and most of them recur. A piece of letters
+alone is not split further, so its bytes go to the model without the pattern that splits texts.
+A tokenizer file that splits texts in another way is recognised, and its texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -14,26 +17,48 @@ import numpy as np
 from attesta.llm.textvec import held
 
 #: Pieces that a worker remembers before it starts anew, and the longest one; they bound its memory.
-REMEMBERED, LONGEST = 1_000_000, 48
+REMEMBERED, LONGEST = 700_000, 48
 _MARKS = ".,;:!?"
 #: Letters up to U+024F, which every Unicode version knows, and a mark.
 _MARKED = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F]{1,40}[.,;:!?]").fullmatch
+_LETTERS = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F]+").fullmatch
 _PLAIN = re.compile(r"\n?[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F]+[.,;:!?]?").fullmatch
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _letters_of_bytes() -> dict[int, str]:
+    """The character that a byte-level model has for each byte: itself if it can be seen, else the next one from U+0100."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _letters_of_bytes()
+
+
+def _cuts(spec: dict) -> bool:
+    """Whether texts may be cut into pieces, by the tokenizer's description."""
+    split = spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    added = [t for t in spec.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])]
+    return bool(plain) and not added and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned integers of width bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        self.cuts = _cuts(json.loads(self.model.to_str()))
         feed = self.model.encode("a\nb", add_special_tokens=False).ids
-        self.feed = feed[1] if len(feed) == 3 else None
+        self.feed = feed[1] if len(feed) == 3 and self.cuts else None
+        self.words = Tokenizer.from_file(path)  # of pieces of letters, as bytes, with the line feed's byte between them
+        self.words.pre_tokenizer = pre_tokenizers.Split(_BYTES[10], "isolated")
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
         self.firsts: dict[str, bytes] = {}  # by a text's first piece, its ids
         self.known: dict[str, bytes] = {}  # by piece, the ids of a space and the piece
@@ -43,6 +68,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as if it were encoded whole."""
+        if not self.cuts:
+            return self._ids(texts)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, firsts = self.known, self.firsts
@@ -83,6 +110,16 @@ class Encoder:
             firsts.clear()
         return out
 
+    def _between(self, out: dict[str, bytes], pieces: list[str], model, joined) -> None:
+        """The ids of pieces, read between line feeds."""
+        for at in range(0, len(pieces), 200):
+            some = pieces[at : at + 200]
+            row = np.array(model.encode_batch_fast([joined(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ids, ends, w, first = row.tobytes(), [*np.flatnonzero(row == self.feed).tolist(), len(row)], self.width, 0
+            for p, e in zip(some, ends, strict=True):
+                out[p] = ids[first * w : e * w]
+                first = e + 1
+
     def _learned(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of each piece after its space or line feed. Many are encoded as one text, with a line feed between them, which is an id of its own there."""
         fed = [p for p in pieces if "\n" in p or self.feed is None]
@@ -91,14 +128,10 @@ class Encoder:
         marked = [p for p in pieces if _MARKED(p)] if self.feed is not None else []
         bare = {p[:-1] for p in marked}
         known = self.known
-        plain = [p for p in bare if p not in known] + [p for p in pieces if p not in out and p not in bare and not _MARKED(p)]
-        for at in range(0, len(plain), 200):
-            some = plain[at : at + 200]
-            row = np.array(self.model.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            ids, ends, w, first = row.tobytes(), [*np.flatnonzero(row == self.feed).tolist(), len(row)], self.width, 0
-            for p, e in zip(some, ends, strict=True):
-                out[p] = ids[first * w : e * w]
-                first = e + 1
+        rest = [p for p in pieces if p not in out and p not in bare and not _MARKED(p)]
+        words = [p for p in bare if p not in known] + [p for p in rest if self.feed is not None and _LETTERS(p)]
+        self._between(out, words, self.words, lambda some: (" " + "\n ".join(some)).encode().decode("latin-1").translate(_BYTES))
+        self._between(out, [p for p in rest if self.feed is None or not _LETTERS(p)], self.model, lambda some: " " + "\n ".join(some))
         for p in marked:
             word = p[:-1]
             out[p] = (known[word] if word in known else out[word]) + self.marks[p[-1]]
