@@ -1,14 +1,19 @@
 """LM scoring by masked pseudo-likelihood.
 
-A bidirectional window network predicts each word from the SPAN words on either side: the vectors of the neighbours, with a matrix for each
-position, are summed into a hidden layer (tanh), and the word's probability is P(class) * P(word | class), a
-softmax over classes and one over the class's words. A document's score is the sum of log P(word | both sides) over its words.
+A bidirectional window network predicts each word from the SPAN words on either side: a vector for each neighbour's word and
+position is summed into a hidden layer (tanh), and the word's probability is P(class) * P(entry | class), a softmax over classes and
+one over the class's entries. A document's score is the sum of log P(word | both sides) over its words.
 
-Vocabulary: the VOCABULARY - RARE most frequent words, by counts over all texts, dealt into classes by rank (so every
-class has as many words); other words share RARE rare words, by hash. Training (numpy, AdaGrad) is done where the data
-lie: in each of ROUNDS rounds every task goes once over every window of all its texts, from the round's parameters, and the tasks' parameters are averaged by the number of windows, part by part on the executors. A task's random
-numbers and order depend on its rows alone, so a lost task gives the same again. Gathering grows with the tasks, and so
-with the input; the driver holds the word counts of the vocabulary and one set of parameters.
+Vocabulary: the VOCABULARY - RARE most frequent words, by counts over all texts, are entries of their own, dealt into classes by
+rank (so every class has as many). Any other word is predicted in two steps: an entry that stands for the rare words of some first bytes, and
+its spelling, P(first byte | entry) * product of P(byte | byte before) with an end, from counts over all rare words of all
+texts. So every string has a probability of its own, and those of one place sum to one.
+
+Training (numpy, AdaGrad): texts are dealt by a hash into tasks of about TASK bytes and sorted by it, so what a task learns, and every score,
+depends on the rows alone, not on how they were stored. In each of ROUNDS rounds a task goes once over every window of all its texts, from
+the round's parameters; the tasks' parameters are averaged by the number of windows, as whole multiples of 1 / FIXED, so that
+the order of sums changes nothing, part by part on the executors. A lost task gives the same again. What is gathered grows
+with the tasks, and so with the input; the driver holds the counts of the vocabulary and one set of parameters.
 
 Nulls: a null text counts as empty, has score 0 and no words. Repeated rows count each time. An empty table gives no
 rows. Extra columns are not read. Texts are taken whole.
@@ -27,9 +32,46 @@ from attesta.llm.textvec import Words, pieces
 
 CLASSES = 32
 VOCABULARY, RARE, SPAN, SIZE = CLASSES * CLASSES, 64, 2, 16
-ROUNDS, STRIDE, BATCH, RATE = 2, 1, 512, 0.1
+ROUNDS, BATCH, RATE = 1, 2048, 0.1
+#: Bytes of text of a training task, about; and parts of one that parameters are rounded to.
+TASK, FIXED = 24 << 20, 1 << 16
 EDGE = VOCABULARY  # the id beyond a text's ends
 _OFFSETS = [*range(-SPAN, 0), *range(1, SPAN + 1)]
+_END = 32
+
+
+class Spelling:
+    """Log-probabilities of rare words, given the entry for their first bytes."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts: of each byte after each byte in rare words (after 0: at the start; the byte 32: the end)."""
+        c = counts.reshape(256, 256).astype(np.float64)
+        first = c[0] + 0.05
+        entry = np.arange(256) % RARE
+        self.first = (np.log(first) - np.log(np.bincount(entry, first, RARE))[entry]).astype(np.float32)
+        self.next = np.log((c + 0.05) / (c.sum(axis=1, keepdims=True) + 0.05 * 256)).astype(np.float32)
+
+    @staticmethod
+    def count(w: Words, rare: np.ndarray) -> np.ndarray:
+        pair, start, end = Spelling._pairs(w), w.start[rare], w.end[rare]
+        inner = np.zeros(len(pair) + 1, np.int8)
+        inner[start + 1] += 1
+        inner[end + 1] -= 1
+        seen = np.bincount(pair[np.cumsum(inner[:-1]).astype(bool)], minlength=1 << 16)
+        return seen + np.bincount(w.buf[start], minlength=1 << 16)
+
+    @staticmethod
+    def _pairs(w: Words) -> np.ndarray:
+        """For each byte, the one before it and itself, blanks as the end."""
+        b = np.where((w.buf < 14) & (w.buf > 8), np.uint8(_END), w.buf).astype(np.uint16)
+        pair = b.copy()
+        pair[1:] |= b[:-1] << np.uint16(8)
+        return pair
+
+    def log_probability(self, w: Words, rare: np.ndarray) -> np.ndarray:
+        sums = np.cumsum(self.next.reshape(-1)[self._pairs(w)], dtype=np.float64)
+        start, end = w.start[rare], w.end[rare]
+        return self.first[w.buf[start]] + sums[end] - sums[start]
 
 
 @dataclass
@@ -37,8 +79,9 @@ class WindowNet:
     words: np.ndarray  # hashes of the frequent words, sorted
     ids: np.ndarray  # their ids
     theta: np.ndarray  # all parameters, flat
+    spelling: Spelling | None = None
 
-    SHAPES = {"vectors": (VOCABULARY + 1, SIZE), "mix": (2 * SPAN, SIZE, SIZE), "bias": (SIZE,), "classes": (SIZE, CLASSES), "class_bias": (CLASSES,), "within": (CLASSES, SIZE, CLASSES), "within_bias": (CLASSES, CLASSES)}
+    SHAPES = {"vectors": (2 * SPAN, VOCABULARY + 1, SIZE), "bias": (SIZE,), "classes": (SIZE, CLASSES), "class_bias": (CLASSES,), "within": (CLASSES, SIZE, CLASSES), "within_bias": (CLASSES, CLASSES)}
 
     @staticmethod
     def size() -> int:
@@ -64,141 +107,166 @@ class WindowNet:
             at += n
         return out
 
-    def encode(self, hashes: np.ndarray) -> np.ndarray:
-        rare = (hashes % np.uint64(RARE)).astype(np.int64)
+    def encode(self, w: Words) -> np.ndarray:
+        entry = (w.buf[w.start] % RARE).astype(np.int16)
         if not len(self.words):
-            return rare
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.ids[at], rare)
+            return entry
+        at = np.minimum(np.searchsorted(self.words, w.hash), len(self.words) - 1)
+        return np.where(self.words[at] == w.hash, self.ids[at].astype(np.int16), entry)
 
-    def padded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts with EDGE around each; the places of the words; and the offsets of each text's words."""
+    def padded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words]:
+        """Ids of all texts with EDGE around each; the places of the words; and the words."""
         w = Words(texts)
         n = np.diff(w.offset)
         where = np.arange(len(w.hash)) + np.repeat(SPAN * (np.arange(len(texts)) + 1), n)
-        ids = np.full(len(w.hash) + SPAN * (len(texts) + 1), EDGE, np.int64)
-        ids[where] = self.encode(w.hash)
-        return ids, where, w.offset
-
-    def hidden(self, p: dict, ids: np.ndarray, where: np.ndarray) -> np.ndarray:
-        """The summed neighbours, through a table of each position's products."""
-        z = np.tile(p["bias"], (len(where), 1))
-        for m, o in zip(p["mix"], _OFFSETS, strict=True):
-            z += (p["vectors"] @ m)[ids[where + o]]
-        return np.tanh(z)
-
-    def log_probability(self, ids: np.ndarray, where: np.ndarray) -> np.ndarray:
+        ids = np.full(len(w.hash) + SPAN * (len(texts) + 1), EDGE, np.int16)
+        ids[where] = self.encode(w)
+        return ids, where, w
+
+    @staticmethod
+    def hidden(p: dict, ids: np.ndarray, where: np.ndarray) -> np.ndarray:
+        z = p["vectors"][0].take(ids[where + _OFFSETS[0]], axis=0)
+        for table, o in zip(p["vectors"][1:], _OFFSETS[1:], strict=True):
+            z += table.take(ids[where + o], axis=0)
+        z += p["bias"]
+        return np.tanh(z, out=z)
+
+    @staticmethod
+    def _by_class(c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by class, and each class that occurs with its run."""
+        order = np.argsort(c, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(c, minlength=CLASSES)))).tolist()
+        return order, [(k, ends[k], ends[k + 1]) for k in range(CLASSES) if ends[k] < ends[k + 1]]
+
+    def log_probability(self, ids: np.ndarray, where: np.ndarray, w: Words | None = None) -> np.ndarray:
+        """Of each word at where; of rare ones with their spelling where the words are given."""
         p, out = self.parts(), np.empty(len(where))
-        tables = [p["vectors"] @ m for m in p["mix"]]
-        for first in range(0, len(where), 1 << 14):
-            w = where[first : first + (1 << 14)]
-            z = np.tile(p["bias"], (len(w), 1))
-            for t, o in zip(tables, _OFFSETS, strict=True):
-                z += t[ids[w + o]]
-            h = np.tanh(z)
-            c, j = np.divmod(ids[w], CLASSES)
+        for first in range(0, len(where), 1 << 13):
+            x = where[first : first + (1 << 13)]
+            c, j = ids[x] >> 5, ids[x] & 31  # CLASSES is 32
+            order, runs = self._by_class(c)
+            c, j = c[order], j[order]
+            h, row = self.hidden(p, ids, x[order]), np.arange(len(x))
             a = h @ p["classes"] + p["class_bias"]
-            out[first : first + len(w)] = a[np.arange(len(w)), c] - np.log(np.exp(a).sum(axis=1))
-            order = np.argsort(c, kind="stable")
-            ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-            for k in range(CLASSES):
-                rows = order[ends[k] : ends[k + 1]]
-                if len(rows):
-                    b = h[rows] @ p["within"][k] + p["within_bias"][k]
-                    out[first + rows] += b[np.arange(len(rows)), j[rows]] - np.log(np.exp(b).sum(axis=1))
+            b = p["within_bias"].take(c, axis=0)
+            for k, s, e in runs:
+                b[s:e] += h[s:e] @ p["within"][k]
+            out[first + order] = a[row, c] + b[row, j] - np.log(np.exp(a).sum(axis=1) * np.exp(b).sum(axis=1))
+        if self.spelling is not None and w is not None:
+            rare = np.flatnonzero(ids[where] < RARE)
+            out[rare] += self.spelling.log_probability(w, rare)
         return out
 
     def step(self, theta: np.ndarray, square: np.ndarray, ids: np.ndarray, where: np.ndarray) -> None:
         """One AdaGrad step on the windows at where."""
-        p, n = self.parts(theta), len(where)
-        grad = np.zeros_like(theta)
-        g = self.parts(grad)
-        near = [ids[where + o] for o in _OFFSETS]
-        inputs = [p["vectors"][x] for x in near]
-        h = np.tanh(sum(v @ m for v, m in zip(inputs, p["mix"], strict=True)) + p["bias"])
-        c, j = np.divmod(ids[where], CLASSES)
-        row = np.arange(n)
-        a = h @ p["classes"] + p["class_bias"]
-        e = np.exp(a - a.max(axis=1, keepdims=True))
-        e /= e.sum(axis=1, keepdims=True)
-        e[row, c] -= 1
-        g["classes"][...], g["class_bias"][...] = h.T @ e / n, e.mean(axis=0)
-        dh = e @ p["classes"].T
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = order[ends[k] : ends[k + 1]]
-            if len(rows):
-                b = h[rows] @ p["within"][k] + p["within_bias"][k]
-                e = np.exp(b - b.max(axis=1, keepdims=True))
-                e /= e.sum(axis=1, keepdims=True)
-                e[np.arange(len(rows)), j[rows]] -= 1
-                g["within"][k], g["within_bias"][k] = h[rows].T @ e / n, e.sum(axis=0) / n
-                dh[rows] += e @ p["within"][k].T
-        dz = dh * (1 - h * h) / n
-        g["bias"][...] = dz.sum(axis=0)
-        for i, v in enumerate(inputs):
-            g["mix"][i] = v.T @ dz
-        cells = np.concatenate(near)[:, None] * SIZE + np.arange(SIZE)
-        back = np.concatenate([dz @ m.T for m in p["mix"]])
-        g["vectors"][...] = np.bincount(cells.ravel(), back.ravel(), (VOCABULARY + 1) * SIZE).reshape(-1, SIZE)
-        square += grad * grad
-        theta -= RATE * grad / np.sqrt(square)
+        p, q, n = self.parts(theta), self.parts(square), len(where)
+        c, j = ids[where] >> 5, ids[where] & 31
+        order, runs = self._by_class(c)
+        where, c, j, row = where[order], c[order], j[order], np.arange(n)
+        h = self.hidden(p, ids, where)
+        a = h @ p["classes"]
+        a += p["class_bias"]
+        np.exp(np.clip(a, -60, 60, out=a), out=a)
+        a /= a.sum(axis=1, keepdims=True)
+        a[row, c] -= 1
+        b = p["within_bias"].take(c, axis=0)
+        for k, s, e in runs:
+            b[s:e] += h[s:e] @ p["within"][k]
+        np.exp(np.clip(b, -60, 60, out=b), out=b)
+        b /= b.sum(axis=1, keepdims=True)
+        b[row, j] -= 1
+        dh = a @ p["classes"].T
+        grads = {"classes": h.T @ a, "class_bias": a.sum(axis=0), "within": np.zeros_like(p["within"]), "within_bias": np.zeros_like(p["within_bias"])}
+        for k, s, e in runs:
+            grads["within"][k] = h[s:e].T @ b[s:e]
+            grads["within_bias"][k] = b[s:e].sum(axis=0)
+            dh[s:e] += b[s:e] @ p["within"][k].T
+        h *= h
+        dh -= dh * h
+        grads["bias"] = dh.sum(axis=0)
+        for name, g in grads.items():
+            g /= n
+            q[name][...] += g * g
+            p[name][...] -= RATE * g / np.sqrt(q[name])
+        dh /= n
+        for k, o in enumerate(_OFFSETS):
+            near = ids[where + o]
+            order = np.argsort(near, kind="stable")
+            near = near[order]
+            first = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
+            g, at = np.add.reduceat(dh.take(order, axis=0), first, axis=0), near[first]
+            s = q["vectors"][k].take(at, axis=0) + g * g
+            q["vectors"][k][at] = s
+            p["vectors"][k][at] -= RATE * g / np.sqrt(s)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word (a 64-bit hash) and count, over all texts; tasks fold their own repeats first."""
+    """word (a 64-bit hash) and count, over all texts, and a row without word: the bytes of all texts. Tasks fold their own repeats first."""
 
     def of(batches):
         for b in batches:
             for _, texts in pieces(b.column(0)):
                 w, n = np.unique(Words(texts).hash.view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([None, *w.tolist()], pa.int64()), pa.array([sum(map(len, texts)), *n.tolist()], pa.int64())], ["word", "n"])
 
     return docs.select(text).mapInArrow(of, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_PART = 1 << 13
+_PART = 1 << 12
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """The sums of rows (part, task, sums) by part: first of some tasks, then of all."""
+
+    def add(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for part, task, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(raw, "<i8")
+                total[part, task] = total[part, task] + x if (part, task) in total else x
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], ["part", "task", "sums"])
+
+    schema = "part int, task int, sums binary"
+    some = parts.select("part", F.expr("task div 64").cast("int").alias("task"), "sums").repartition("part", "task").mapInArrow(add, schema)
+    return some.select("part", F.lit(0).alias("task"), "sums").repartition("part").mapInArrow(add, schema).select("part", "sums")
 
 
-def trained(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, text: str = "text") -> WindowNet:
+def trained(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> WindowNet:
+    from pyspark import TaskContext
+
     spark = docs.sparkSession
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
-    net = WindowNet.new([r.word for r in top])
-    for r in range(rounds):
+    counts = word_counts(docs, text).orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(VOCABULARY - RARE + 1).collect()
+    net = WindowNet.new([r.word for r in counts[1:]])
+    tasks = 1 + (counts[0].n if counts else 0) // TASK
+    dealt = docs.select(F.coalesce(text, F.lit("")).alias("t")).select("t", F.xxhash64("t").alias("h")).repartition(tasks, "h").sortWithinPartitions("h").select("t")
+    for turn in range(rounds):
         given = spark.sparkContext.broadcast(net)
 
-        def learn(batches, given=given, r=r):
+        def learn(batches, given=given, turn=turn):
             net = given.value
             theta, square, seen = net.theta.copy(), np.full(len(net.theta), 1e-6, np.float32), 0
+            spelled = np.zeros(1 << 16, np.int64)
             for b in batches:
                 for _, texts in pieces(b.column(0)):
-                    ids, where, _ = net.padded(texts)
-                    where = where[(r * 3) % stride :: stride]
+                    ids, where, w = net.padded(texts)
+                    if turn == 0:
+                        spelled += Spelling.count(w, np.flatnonzero(ids[where] < RARE))
                     where = np.random.default_rng(len(where)).permutation(where)
                     for first in range(0, len(where), BATCH):
                         net.step(theta, square, ids, where[first : first + BATCH])
                     seen += len(where)
             if seen:
-                sums = [(theta[i : i + _PART].astype(np.float64) * seen) for i in range(0, len(theta), _PART)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([seen] * len(sums), pa.int64()), pa.array([x.astype("<f8").tobytes() for x in sums], pa.binary())], ["part", "seen", "sums"])
-
-        def add(batches):
-            total: dict[int, list] = {}
-            for b in batches:
-                for part, seen, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    x = total.setdefault(part, [0, 0.0])
-                    x[0] += seen
-                    x[1] = x[1] + np.frombuffer(raw, "<f8")
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1].tobytes() for x in total.values()], pa.binary())], ["part", "seen", "sums"])
-
-        schema = "part int, seen long, sums binary"
-        theta = net.theta.copy()
-        # A row for each part and task; its sum is one row a part.
-        for row in docs.select(text).mapInArrow(learn, schema).repartition("part").mapInArrow(add, schema).collect():
-            mean = np.frombuffer(row.sums, "<f8") / row.seen
-            theta[row.part * _PART : row.part * _PART + len(mean)] = mean
-        net = WindowNet(net.words, net.ids, theta)
+                whole = np.concatenate(([seen], np.rint(theta * np.float64(FIXED)).astype(np.int64) * seen, spelled))
+                sums = [whole[i : i + _PART].astype("<i8").tobytes() for i in range(0, len(whole), _PART)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(sums), pa.int32()), pa.array(sums, pa.binary())], ["part", "task", "sums"])
+
+        rows = summed(dealt.mapInArrow(learn, "part int, task int, sums binary")).collect()  # one set of parameters
+        if rows:
+            whole = np.concatenate([np.frombuffer(r.sums, "<i8") for r in sorted(rows, key=lambda r: r.part)])
+            size = WindowNet.size()
+            spelling = Spelling(whole[1 + size :]) if turn == 0 else net.spelling
+            net = WindowNet(net.words, net.ids, (whole[1 : 1 + size] / whole[0] / FIXED).astype(np.float32), spelling)
     return net
 
 
@@ -209,10 +277,10 @@ def scored(docs: DataFrame, net: WindowNet, id_: str = "doc_id", text: str = "te
     def of(batches):
         for b in batches:
             for at, texts in pieces(b.column(1)):
-                ids, where, offset = given.value.padded(texts)
-                sums = np.concatenate(([0.0], np.cumsum(given.value.log_probability(ids, where))))
-                n = np.diff(offset)
-                total = np.where(n > 0, sums[offset[1:]] - sums[offset[:-1]], 0.0)
+                ids, where, w = given.value.padded(texts)
+                sums = np.concatenate(([0.0], np.cumsum(given.value.log_probability(ids, where, w))))
+                n = np.diff(w.offset)
+                total = np.where(n > 0, sums[w.offset[1:]] - sums[w.offset[:-1]], 0.0)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(total), mean], [id_, "n_words", "log_probability", "per_word"])
 

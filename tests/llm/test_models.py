@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.llm import language, masked_lm, queries, toxicity
+from attesta.llm.textvec import Words
 
 
 def test_language_of_documents(spark, sf):
@@ -94,7 +97,7 @@ def test_gradient_of_the_window_network():
     net = masked_lm.WindowNet.new(list(range(1, 900)))
     net.theta = net.theta.astype(np.float64)
     rng = np.random.default_rng(0)
-    ids = rng.integers(0, masked_lm.VOCABULARY, 60)
+    ids = rng.integers(0, masked_lm.VOCABULARY, 60).astype(np.int16)
     where = np.arange(2, 58)
     theta, square = net.theta.copy(), np.ones(len(net.theta))
     net.step(theta, square, ids, where)
@@ -110,7 +113,7 @@ def test_gradient_of_the_window_network():
 
 def test_probabilities_sum_to_one():
     net = masked_lm.WindowNet.new(list(range(1, 900)))
-    ids = np.array([5, 6, 0, 7, 8])
+    ids = np.array([5, 6, 0, 7, 8], np.int16)
     total = 0.0
     for w in range(masked_lm.VOCABULARY):
         ids[2] = w
@@ -120,11 +123,9 @@ def test_probabilities_sum_to_one():
 
 def test_masked_lm_beats_word_frequencies_on_held_out_texts(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
-    train, rest = docs.where("doc_id % 5 != 0"), docs.where("doc_id % 5 = 0")
-    net = masked_lm.trained(train, stride=1)
-    got = masked_lm.scored(rest, net).toPandas()
-    model = got.log_probability.sum() / got.n_words.sum()
-    counts, held = np.ones(masked_lm.VOCABULARY), []
+    train, rest = docs.where("doc_id % 5 != 0"), docs.where("doc_id % 5 = 0").cache()
+    net = masked_lm.trained(train)
+    counts, entries, held = np.ones(masked_lm.VOCABULARY), [], []
     for rows, into in ((train, None), (rest, held)):
         for r in rows.select("text").collect():
             ids, where, _ = net.padded([r.text.encode()])
@@ -132,8 +133,47 @@ def test_masked_lm_beats_word_frequencies_on_held_out_texts(spark, sf):
                 np.add.at(counts, ids[where], 1)
             else:
                 into.append(ids[where])
+                entries.append(net.log_probability(ids, where))
     unigram = np.log(counts / counts.sum())[np.concatenate(held)].mean()
-    assert model > unigram + 0.05, (model, unigram)
+    assert np.concatenate(entries).mean() > unigram + 0.05
+    # Texts of words that nobody writes are less likely than any but a few documents.
+    rng = random.Random(1)
+    junk = [(-i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 12))) for _ in range(200))) for i in range(20)]
+    got = masked_lm.scored(rest.select("doc_id", "text").union(spark.createDataFrame(junk, "doc_id long, text string")), net).toPandas()
+    real, odd = got[(got.doc_id > 0) & (got.n_words > 20)].per_word, got[got.doc_id < 0].per_word
+    assert odd.max() < real.quantile(0.1), (odd.max(), real.quantile([0.01, 0.1, 0.5]).tolist())
+
+
+def test_masked_lm_scores_match_brute_force_and_do_not_depend_on_splits(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    net = masked_lm.trained(docs)
+    other = masked_lm.trained(docs.repartition(7))
+    assert np.array_equal(net.theta, other.theta) and np.array_equal(net.spelling.next, other.spelling.next)
+    p = net.parts()
+    for r in masked_lm.scored(docs.where("doc_id < 12"), net).collect():
+        text = (docs.where(F.col("doc_id") == r.doc_id).first().text or "").encode().lower().split()
+        ids = []
+        for w in text:
+            h = Words([w]).hash
+            ids.append(int(net.ids[np.flatnonzero(net.words == h)[0]]) if h in net.words else w[0] % masked_lm.RARE)
+        around, total = [masked_lm.EDGE] * 2 + ids + [masked_lm.EDGE] * 2, 0.0
+        for n, (w, i) in enumerate(zip(text, ids, strict=True)):
+            near = [around[n], around[n + 1], around[n + 3], around[n + 4]]
+            h = np.tanh(sum(p["vectors"][k][x] for k, x in enumerate(near)) + p["bias"])
+            a, b = h @ p["classes"] + p["class_bias"], h @ p["within"][i >> 5] + p["within_bias"][i >> 5]
+            total += a[i >> 5] - np.log(np.exp(a).sum()) + b[i & 31] - np.log(np.exp(b).sum())
+            if i < masked_lm.RARE:
+                total += net.spelling.first[w[0]] + sum(net.spelling.next[x][y] for x, y in zip(w, [*w[1:], 32], strict=True))
+        assert r.n_words == len(text) and r.log_probability == pytest.approx(total, rel=1e-4, abs=1e-3)
+    queried = queries.op10_masked_lm(spark, sf).where("doc_id = 3").first()
+    assert queried.log_probability == pytest.approx(masked_lm.scored(docs.where("doc_id = 3"), net).first().log_probability, rel=1e-6)
+
+
+def test_spelling_probabilities_sum_to_one():
+    rows = Words([b"ab abc b ba aab", b"cab"])
+    s = masked_lm.Spelling(masked_lm.Spelling.count(rows, np.arange(len(rows.hash))))
+    assert np.exp(s.next).sum(axis=1) == pytest.approx(np.ones(256), abs=1e-4)
+    assert np.bincount(np.arange(256) % masked_lm.RARE, np.exp(s.first)) == pytest.approx(np.ones(masked_lm.RARE), abs=1e-4)
 
 
 def test_masked_lm_edge_cases(spark):
