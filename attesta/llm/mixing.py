@@ -7,7 +7,8 @@ every source's count differs from its share by less than one block.
 
 The weights are the targets exactly (a float is a fraction), so this holds for the targets themselves, however long the schedule is.
 Where T is at most a parameter the schedule repeats after T slots, and the driver lays out one period; for other targets it
-lays out every block, one row for each block of documents. When a source has no blocks left, the others go on with their weights among themselves in a new
+lays out every block. A block has at least a given number of documents, and as many as it takes to make no more than MOST_BLOCKS blocks (and one
+for each source), so the driver's schedule does not grow with the corpus. When a source has no blocks left, the others go on with their weights among themselves in a new
 period (a segment), until all documents have a place: none is dropped or repeated. The driver holds
 the number of documents of each source; more than MOST_SOURCES sources are an error, not a cut.
 
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import cut, fresh
 
-MOST_SOURCES = 100_000
+MOST_SOURCES = 10_000
+MOST_BLOCKS = 1 << 20
 #: Documents of a bucket, on average.
 BUCKET = 8192
 
@@ -98,10 +100,10 @@ def segments(blocks: list[int], weights: list[float], parts: int) -> list[dict]:
     return out
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, parts: int = 1000, power: float = 0.5, id_: str = "doc_id", source: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, parts: int = 1000, power: float = 0.5, most_blocks: int = MOST_BLOCKS, id_: str = "doc_id", source: str = "source") -> DataFrame:
     """id_, source, block, segment, released, due (slots from the segment's start), slot, place; one row per distinct (source, id_).
 
-    weights: target weight by source. Without it a source's weight is its number of documents to the given power.
+    weights: target weight by source. block: documents of a block, or more where that makes more than most_blocks. Without it a source's weight is its number of documents to the given power.
     Ascending place is the mixture.
     """
     spark = docs.sparkSession
@@ -114,6 +116,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, parts:
         return spark.createDataFrame([], out_schema)
     if weights is not None and (missing := [s for s, _ in sizes if not weights.get(s, 0) > 0]):
         raise ValueError(f"no target weight for {missing[:5]}")
+    block = max(block, -(-sum(n for _, n in sizes) // most_blocks))
     target = [weights[s] if weights is not None else n**power for s, n in sizes]
     plan = segments([-(-n // block) for _, n in sizes], target, parts)
     spans, cells = [], []
