@@ -35,11 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Only a session without it (tests,
-    a laptop) gets a temporary folder of its own.
+    The cluster names that folder in spark.checkpoint.dir. Only a local session without it (tests,
+    a laptop) gets a temporary folder of its own; on a cluster that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/attesta-{uuid.uuid4().hex}"

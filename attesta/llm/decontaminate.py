@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, small
+from attesta.llm.common import cut, fresh, small
 from attesta.llm.simhash import block_keys, hamming, simhash
 
 SHINGLE, RADIUS, SIMILAR = 5, 24, 0.8
@@ -101,6 +101,7 @@ def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: i
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of docs that hold no item."""
-    found = leaks(docs, items, id_=id_, text=text, **how).select(F.col(id_).alias("_leak_id"), F.col("text_hash").alias("_leak_key")).distinct()
-    same = docs[id_].cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_leak_key"))
+    i, key = fresh(docs, "leak_id", "leak_key")
+    found = leaks(docs, items, id_=id_, text=text, **how).select(F.col(id_).alias(i), F.col("text_hash").alias(key)).distinct()
+    same = docs[id_].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col(key))
     return docs.join(found, same, "left_anti")

@@ -16,6 +16,7 @@ nothing. Rows repeated within a batch count each time; extra columns are not rea
 from __future__ import annotations
 
 import json
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,20 +87,22 @@ class TokenRollup:
         return names[-1], json.loads(held)
 
     def committed(self) -> set[str]:
-        return {*self._snapshot()[1], *self._marked("batches")}
+        return {unquote(n.removeprefix("b-")) for n in (*self._snapshot()[1], *self._marked("batches"))}
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once; False where it has been applied before."""
         if batch_id in self.committed():
             return False
+        name = "b-" + quote(batch_id, safe="")  # any text may be an id
         sums = signed(changes).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batches/{batch_id}")
+        sums.write.mode("overwrite").parquet(f"{self.path}/batches/{name}")
         return True
 
-    def totals(self) -> DataFrame:
-        """source, lang, version, n_docs, n_tokens; keys whose documents are all gone stay out."""
+    def totals(self, batches: list[str] | None = None) -> DataFrame:
+        """source, lang, version, n_docs, n_tokens; keys whose documents are all gone stay out. batches: those to add to the snapshot, else all."""
         name, held = self._snapshot()
-        paths = [f"{self.path}/batches/{b}" for b in self._marked("batches") if b not in held]
+        batches = self._marked("batches") if batches is None else batches
+        paths = [f"{self.path}/batches/{b}" for b in batches if b not in held]
         paths += [f"{self.path}/snapshots/{name}"] if name else []
         rows = self.spark.read.schema(_SUMS).parquet(*paths) if paths else self.spark.createDataFrame([], _SUMS)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -107,10 +110,12 @@ class TokenRollup:
 
     def compact(self) -> None:
         """Fold all committed batches into a new snapshot, then delete their folders."""
-        held = sorted(self.committed())
-        name = f"{int(self._snapshot()[0] or 0) + 1:08d}"
-        totals = self.totals()
+        last, old = self._snapshot()
+        batches = self._marked("batches")  # one committed from now on is left to the next snapshot
+        held = sorted({*old, *batches})
+        name = f"{int(last or 0) + 1:08d}"
+        totals = self.totals(batches)
         self.spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/snapshots/{name}.batches")
         totals.write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")
-        for b in held:
+        for b in batches:
             self._fs.delete(self._Path(f"{self.path}/batches/{b}"), True)

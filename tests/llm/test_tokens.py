@@ -61,6 +61,17 @@ def test_token_files_edge_cases(spark, tmp_path):
     assert token_files(df.limit(0), public_tokenizer()).count() == 0
 
 
+def test_another_splitter_is_recognised(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizer())
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    t.save(str(tmp_path / "t.json"))
+    e = Encoder(str(tmp_path / "t.json"))
+    whole = [x.ids for x in t.encode_batch(ODD, add_special_tokens=False)]
+    assert not e.cuts and [np.frombuffer(x, e.dtype).tolist() for x in e.encode(ODD)] == whole
+
+
 def test_rollup(spark, tmp_path):
     schema = "op string, source string, lang string, version string, n_tokens long, old_tokens long, doc_id long"
     frame = lambda *rows: spark.createDataFrame(list(rows), schema)
@@ -79,7 +90,8 @@ def test_rollup(spark, tmp_path):
     r.commit("3", frame(("insert", "a", "fr", "v2", 4, None, 9)))
     r.compact()
     assert got() == sorted([*want, ("a", "fr", "v2", 1, 4)], key=str)
-    (tmp_path / "r/batches/4").mkdir()  # a driver lost before the mark
+    assert r.commit("../a b/%", first.limit(0)) and not r.commit("../a b/%", first) and "../a b/%" in r.committed()
+    (tmp_path / "r/batches/b-4").mkdir()  # a driver lost before the mark
     assert r.commit("4", first.limit(0)) and len(got()) == 3
 
 
