@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm import queries
 from attesta.llm.decontaminate import decontaminated, leaks
-from attesta.llm.line_dedup import line_groups, without_repeats
+from attesta.llm.line_dedup import line_groups, within, without_repeats
 from attesta.llm.simhash import block_keys, simhash
 
 
@@ -233,3 +233,20 @@ def test_line_recall_on_documents(spark, sf):
     found = [groups[r[0], r[1]] == groups[r[2], r[3]] for r in links]
     assert len(found) > 20 and sum(found) >= 0.9 * len(found), (sum(found), len(found))
     print("lines", len(first), "links", len(found), "found", sum(found))
+
+
+def test_pieces_agree_with_the_whole_distance(spark):
+    rng, pairs = random.Random(6), []
+    for size in (30, 150, 400, 900, 3000):
+        for edits in (0, 0.01, 0.05, 0.09, 0.12, 0.5):
+            a = [rng.choice("abcdefghilmnoprstu é") for _ in range(size)]
+            b = list(a)
+            for i in rng.sample(range(size), int(size * edits)):
+                b[i] = rng.choice(["", "x", "yz"])
+            pairs.append(("".join(a), "".join(b)))
+    a = pairs[-1][0]
+    pairs += [(a, a[1500:] + a[:1500]), (a, a[:1000] + a[1100:]), ("ab" * 500, "ab" * 520), ("a" * 700, "a" * 640), ("x" + a, a + "x")]
+    df = spark.createDataFrame(pairs, "x string, y string").select(F.struct(F.col("x").alias("norm")).alias("a"), F.struct(F.col("y").alias("norm")).alias("b"))
+    plain = F.expr("levenshtein(a.norm, b.norm) <= cast(floor(0.1 * greatest(length(a.norm), length(b.norm)) + 1e-9) as int)")
+    got = df.select(F.expr(within(0.9).format(a="a.", b="b.")).alias("g"), plain.alias("w")).collect()
+    assert [r.g for r in got] == [r.w for r in got] and 10 < sum(r.w for r in got) < len(got)
