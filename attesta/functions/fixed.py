@@ -52,6 +52,14 @@ DEAD_WORDS = (
     "テスト", "確認", "調査", "検討", "実装", "設計", "資料", "文書", "項目",
 )
 
+# Trims: where a clause ends, where a text may be cut, units of measurements, brackets.
+CLAUSE = r"(?<=[。;；])\s*|(?<=\.)(?<!\d\.)(?:\s+|$)|\s+—\s+|\s+/\s+"
+BREAKS = "。、．，・/｜|)）」』〕 \t"
+NUMERAL = r"\d+(?:\.\d+)?[eE][+-]?\d+|\d[\d,.:/-]*\d|\d"
+UNIT = r"(?:t/s|tok/s|GB|GiB|MB|KiB|TB|%|倍|秒|枚|層|件|ms|s|B)(?![A-Za-z])"
+BRACKETS = (("(", ")"), ("[", "]"), ("（", "）"), ("「", "」"), ("『", "』"), ("〔", "〕"))
+OPENING_CHARS = 600
+
 # Typed edges, most specific first.
 EDGE_TYPES = ("supersedes", "rejected", "blocked-by", "next", "continues")
 SUPERSEDES = (*OBSOLETE, "旧")

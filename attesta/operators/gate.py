@@ -44,14 +44,16 @@ def anchor(text: Column) -> Column:
 def echoes(q: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """The distinct quotes that some text of the store contains, verbatim after squeezing.
 
-    An equi-join on an inner word of the quote proposes texts; containment decides. Only quotes of one or two words
-    need the theta join.
+    An equi-join on an inner word of the quote proposes texts, by their hash; the texts proposed are fetched once each, and containment decides.
+    Only quotes of one or two words need the theta join.
     """
     quote = q.select("quote").distinct().withColumn("word", anchor(F.col("quote")))
-    store = texts.select(squeeze(F.coalesce(text, F.lit(""))).alias("t"))
-    spelled = store.select("t", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    store = texts.select(squeeze(F.coalesce(text, F.lit(""))).alias("t")).withColumn("at", F.xxhash64("t"))
+    spelled = store.select("at", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
     wanted = quote.where("word is not null")
-    long = spelled.join(wanted, "word").where(F.col("t").contains(F.col("quote"))).select("quote")
+    proposed = spelled.join(wanted, "word").groupBy("at").agg(F.collect_set("quote").alias("quotes"))
+    held = store.join(proposed, "at").select(F.explode(F.filter("quotes", lambda x: F.col("t").contains(x))).alias("quote"))
+    long = held.distinct()
     short = quote.where("word is null").join(store, F.col("t").contains(F.col("quote"))).select("quote")
     return long.union(short).distinct()
 

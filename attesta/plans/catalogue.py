@@ -172,14 +172,10 @@ def links_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.dead_links(names.links(mem), mem)
 
 
-#: Only links from every third memory count here, so that islands exist.
-_SPARSE = "sparse AS (SELECT link.* FROM link JOIN mem ON mem.slug = src WHERE doc_id % 3 = 0)"
-
-
-@query("SELECT slug FROM mem WHERE slug NOT IN (SELECT src FROM sparse WHERE dst IN (SELECT slug FROM mem)) AND slug NOT IN (SELECT dst FROM sparse)", MEM, LINK, _SPARSE)
+@query("SELECT slug FROM mem WHERE slug NOT IN (SELECT src FROM link WHERE dst IN (SELECT slug FROM mem)) AND slug NOT IN (SELECT dst FROM link)", MEM, LINK)
 def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     mem = adapters.memories(spark, sf_dir)
-    return names.islands(names.links(mem.where("doc_id % 3 = 0")), mem)
+    return names.islands(names.links(mem), mem)
 
 
 #: Every memory links to its source's first one, besides its own links.
@@ -194,16 +190,15 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.hubs(names.links(mem).union(to_first), mem)
 
 
-@query(
-    """SELECT slug, 'not in index' AS problem FROM mem WHERE slug NOT IN (SELECT slug FROM listed WHERE line_no % 7 <> 0)
-UNION ALL SELECT DISTINCT slug, 'orphan' FROM listed WHERE line_no % 7 <> 0 AND slug NOT IN (SELECT slug FROM mem WHERE doc_id % 11 <> 0) AND FALSE""",
-    MEM,
-    LINE,
-    NAMES,
-)
+#: Every seventh line names its memories as they were called before.
+_RENAMED = "renamed AS (SELECT line_no, CASE WHEN line_no % 7 = 0 THEN 'old-' || slug ELSE slug END AS slug FROM listed)"
+
+
+@query("SELECT slug, 'not in index' AS problem FROM mem WHERE slug NOT IN (SELECT slug FROM renamed) UNION ALL SELECT DISTINCT slug, 'orphan' FROM renamed WHERE slug NOT IN (SELECT slug FROM mem)", MEM, LINE, NAMES, _RENAMED)
 def index_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     mem = adapters.memories(spark, sf_dir)
-    return names.index_drift(adapters.index_lines(mem).where("line_no % 7 != 0"), mem)
+    old = F.when(F.col("line_no") % 7 == 0, F.replace("line", F.lit("]("), F.lit("](old-"))).otherwise(F.col("line"))
+    return names.index_drift(adapters.index_lines(mem).withColumn("line", old), mem)
 
 
 @query("SELECT page_id, h.pos::INT AS pos, h.href FROM (SELECT page_id, unnest(list_transform(range(len(l)), lambda i: {'pos': i, 'href': l[i + 1]})) AS h FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages))")
@@ -389,14 +384,14 @@ def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT slug, date_diff('day', day, DATE '2024-01-31')::DOUBLE AS age FROM mem", MEM)
 def age_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.ages(adapters.memories(spark, sf_dir), TODAY, chars=1_000_000)
+    return maps.ages(adapters.memories(spark, sf_dir), TODAY, chars=None)
 
 
 LAYER = "layered AS (SELECT slug, type, date_diff('day', day, DATE '2024-01-31')::DOUBLE AS age, CASE WHEN type IN ('user', 'feedback') THEN 'pinned' WHEN date_diff('day', day, DATE '2024-01-31') <= 14 THEN 'fresh' ELSE 'trigger' END AS layer FROM mem)"
 
 
 def _layers(mem: DataFrame) -> DataFrame:
-    return maps.layers(mem, maps.ages(mem, TODAY, chars=1_000_000))
+    return maps.layers(mem, maps.ages(mem, TODAY, chars=None))
 
 
 @query("SELECT slug, type, age, layer FROM layered", MEM, LAYER)

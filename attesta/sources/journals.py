@@ -19,8 +19,11 @@ SCHEMA = "key string, pos bigint, next bigint, line string, skipped string"
 
 
 def lines(path: str, start: int, end: int | None = None) -> Iterator[tuple[str, int, int, str | None, str | None]]:
-    """(key, offset, next offset, line, reason for skipping) of the complete lines from start, none of which starts at end or beyond."""
-    key = os.path.basename(path)
+    """(key, offset, next offset, line, reason for skipping) of the complete lines from start, none of which starts at end or beyond.
+
+    The key is the whole path, since files in different folders may share a name.
+    """
+    key = os.path.abspath(path)
     with open(path, "rb") as f:
         f.seek(start)
         while end is None or f.tell() < end:

@@ -66,7 +66,7 @@ def test_writer(spark, tmp_path):
     marks = spark.createDataFrame([("a", ["x"], {"k": "2"}), ("nobody", ["z"], {})], "slug string, tags array<string>, meta map<string,string>")
     assert t.annotate(marks) == 2
     assert t.annotate(spark.createDataFrame([("b", ["z"], {"m": "1"})], marks.schema)) == 3
-    (tmp_path / "t/v4").mkdir()  # a writer lost before its pointer
+    (tmp_path / "t/v4-lost").mkdir()  # a writer lost before its pointer
     assert t.read().count() == 2 and t.upsert(rows(("c", "C", "x", None, None))) == 4 and t.read().count() == 3
     with pytest.raises(Refused):
         StoreTable(spark, str(tmp_path / "t"), "frozen").upsert(rows(("d", "", "", None, None)))
@@ -75,6 +75,55 @@ def test_writer(spark, tmp_path):
     assert StoreTable(spark, str(tmp_path / "t"), "distiller-only").upsert(rows(("d", "", "", None, None)), distilled=True) == 5
 
 
+@pytest.mark.parametrize("step", ["data", "pointer", "mark"])
+def test_a_writer_lost_between_any_two_steps_loses_nothing(spark, tmp_path, step):
+    rows = lambda *slugs: spark.createDataFrame([(s, s.upper()) for s in slugs], "slug string, title string")
+
+    class Lost(StoreTable):
+        def _step(self, name):
+            if name == step:
+                raise KeyboardInterrupt
+
+    at = str(tmp_path / "t")
+    StoreTable(spark, at).upsert(rows("a", "b"), batch="1")
+    with pytest.raises(KeyboardInterrupt):
+        Lost(spark, at).upsert(rows("c"), batch="2")
+    t = StoreTable(spark, at)
+    before = {r.slug for r in t.read().collect()}
+    assert before == ({"a", "b"} if step == "data" else {"a", "b", "c"})
+    t.upsert(rows("c"), batch="2")  # the batch comes again
+    revision = t.upsert(rows("d"), batch="3")
+    assert t.upsert(rows("never"), batch="2") == t.upsert(rows("never"), batch="1") == revision
+    assert {r.slug for r in t.read().collect()} == {"a", "b", "c", "d"} and t.state()["revision"] == 3
+    (tmp_path / "t/revisions/000000000009.json").write_text("")  # a pointer that was begun
+    assert t.upsert(rows("e")) == 10 and t.read().count() == 5
+    assert t.vacuum() > 0 and t.read().count() == 5
+
+
+def test_the_lock_of_a_lost_writer_is_taken_away(spark, tmp_path):
+    import time
+
+    rows = spark.createDataFrame([("a", "A")], "slug string, title string")
+    t = StoreTable(spark, str(tmp_path / "t"), lease=1.5)
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/LOCK").write_text("someone")
+    with pytest.raises(TimeoutError), t.locked(0.2):
+        pass
+    assert t.upsert(rows) == 1 and not (tmp_path / "t/LOCK").exists()
+    with t.locked():
+        time.sleep(3)  # it is renewed
+        with pytest.raises(TimeoutError), StoreTable(spark, str(tmp_path / "t"), lease=1.5).locked(0.5):
+            pass
+
+
+def test_folders_merge(spark, tmp_path):
+    t = StoreTable(spark, str(tmp_path / "t"))
+    for i in range(18):
+        t.upsert(spark.createDataFrame([(f"m{i % 5}", str(i), [f"t{i}"])], "slug string, title string, tags array<string>"), batch=str(i))
+    assert len(t.state()["folders"]) == 2 and {r.slug: r.title for r in t.read().collect()} == {"m0": "15", "m1": "16", "m2": "17", "m3": "13", "m4": "14"}
+    assert {r.slug: len(r.tags) for r in t.read().collect()} == {"m0": 4, "m1": 4, "m2": 4, "m3": 3, "m4": 3}
+
+
 def line(i, text="we agreed on the blue engine", cls="USER"):
     return journals.evidence_line(event_id=f"e{i}", session_id="s", turn_id="t", **{"class": cls}, text=text, timestamp="2024-01-02T03:04:05Z") + "\n"
 
