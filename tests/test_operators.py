@@ -114,7 +114,7 @@ def test_first_violation(spark):
     from pyspark.sql import functions as F
 
     desc = "bake of ds4-tp8 took 796 s, not 900 s; 5 → 7, superseded"
-    cases = [("", "empty"), ("memo", "dead word"), ("★Bake", "restates the title"), ("bake took 797 s, not superseded", "invented number: 797"), ("took 900 s, not 796 GB, superseded", "number re-bound: 796|GB"), ("7 → 5 not superseded", "arrow reversed or invented: 7→5"), ("the user decided: not superseded", "credits the human where the line does not"), ("★ bake not superseded", "invented marker ★"), ("bake [[x]] not superseded", "invented link [[x]]"), ("bake of ds4-tp not superseded", "cut or invented identifier: ds4-tp"), ("never not superseded", "negation invented: never"), ("bake took 796 s superseded", "negation dropped"), ("bake took 796 s, not 900 s", "retirement word dropped"), ("not superseded zzzz yyyy xxxx", "ungrounded (2-gram overlap below the floor)"), ("bake took 796 s, not 900 s; superseded", None)]
+    cases = [("", "empty"), ("memo", "dead word"), ("★Bake", "restates the title"), ("bake took 797 s, not superseded", "invented number: 797"), ("took 900 s, not 796GB, superseded", "number re-bound: 796|GB"), ("7 → 5 not superseded", "arrow reversed or invented: 7→5"), ("the user decided: not superseded", "credits the human where the line does not"), ("★ bake not superseded", "invented marker ★"), ("bake [[x]] not superseded", "invented link [[x]]"), ("bake of ds4-tp not superseded", "cut or invented identifier: ds4-tp"), ("never not superseded", "negation invented: never"), ("bake took 796 s superseded", "negation dropped"), ("bake took 796 s, not 900 s", "retirement word dropped"), ("not superseded zzzz yyyy xxxx", "ungrounded (2-gram overlap below the floor)"), ("bake took 796 s, not 900 s; superseded", None)]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string")
     got = df.select("i", maps.first_violation(F.col("c"), F.lit("Bake"), F.lit(desc)).alias("why")).orderBy("i").collect()
     assert [r.why for r in got] == [w for _, w in cases]
