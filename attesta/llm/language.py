@@ -135,7 +135,8 @@ def fitted(rows: DataFrame, text: str, declared: Column, key: Column) -> TextMod
 def fused(rows: DataFrame, model: TextModel, text: str, declared: Column, host: Column, suffix: Column | None = None, columns: list[str] | None = None) -> DataFrame:
     """The columns of rows (all where none are named) and one more, 'evidence': struct(language, posterior, text_language, has_text).
 
-    Each text is scored once: rows are written with their scores, and only these are read again for the sums.
+    Where the text is not among them each text is scored once: rows are written with their scores. Else it is scored for the sums and again for
+    the result, which takes less than writing the texts.
     Without a suffix a host's parent is the whole table.
     """
     names, k = model.languages, len(model.languages)
@@ -152,7 +153,9 @@ def fused(rows: DataFrame, model: TextModel, text: str, declared: Column, host:
     known = F.when(declared.isin(names[:-1]), declared).when(declared.isNull() | (declared == ""), F.lit("none")).otherwise(F.lit("other"))
     col = lambda c: F.col(f"`{c}`")
     own_suffix = F.lit("") if suffix is None else F.coalesce(suffix, F.lit(""))
-    base = cut(rows.select(*map(col, columns), known.alias(d), F.coalesce(host, F.lit("")).alias(h), own_suffix.alias(s), scores(col(text)).alias(ll)))
+    base = rows.select(*map(col, columns), known.alias(d), F.coalesce(host, F.lit("")).alias(h), own_suffix.alias(s), scores(col(text)).alias(ll))
+    if text not in columns:
+        base = cut(base)
     expo = F.transform(col(ll), lambda x: F.exp(x - F.array_max(col(ll))))
     shares = F.when(F.exists(col(ll), lambda x: x != 0), F.transform(expo, lambda x: x / F.aggregate(expo, F.lit(0.0), lambda a, b: a + b)))
     sums = [F.sum(col(soft)[i]).alias(f"p{i}") for i in range(k)]
