@@ -42,7 +42,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 #: Ids of each key that all others are compared with first.
-PIVOTS = 6
+PIVOTS = 2
 
 
 def shared(cells: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def grouped(
     placed = cells.join(of_star, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     sizes = placed.groupBy(*keys, "c").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy(*keys).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(*keys)
-    placed = cut(placed.join(sizes.join(mixed, keys), [*keys, "c"]))
+    placed = cut_cells = cut(placed.join(sizes.join(mixed, keys), [*keys, "c"]))
     if whole is not None:
         placed, near = whole(placed)
         rest = [c for c in placed.columns if c not in (*keys, "c", "m")]
@@ -96,6 +96,8 @@ def grouped(
     left, right = a.where(many).withColumn("ca", F.col("a.c")).drop("m"), b.where(many).withColumn("cb", F.col("b.c")).drop("m")
     pairs = pairs.union(apart.join(left, [*keys, "ca"]).join(right, [*keys, "cb"]).where(close).select(*ends))
     more = cut((pairs if whole is not None else verified(pairs.distinct())).select("x", "y"))
+    drop_table(cells)
+    drop_table(cut_cells)
     # The components of the pivots' links are nodes now, by their smallest id.
     for end in "xy":
         more = more.join(of_star.select(F.col("id").alias(end), F.col("component").alias("c")), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, drop_table
+from attesta.llm.common import cut, drop_table, small
 from attesta.llm.graph import grouped, shared
 from attesta.llm.textvec import Words, pieces, shingles
 
@@ -154,10 +154,13 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, k: int = 3, percent: int = 90, id_: str = "doc_id", text: str = "text"):
         self.percent, self.k = percent, k
         self.texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
-        self.docs = cut(profiles(docs, k, percent, id_, text))
+        whole = cut(profiles(docs, k, percent, id_, text))
+        self.docs = cut(whole.select("id", "n", "key"))
         first = F.min(F.struct("id", "n", "head", "parity")).alias("first")
         #: One node for each distinct set: its smallest id.
-        self.nodes = cut(self.docs.where("id is not null and n > 0").groupBy("key").agg(first).select("key", "first.*"))
+        self.nodes = cut(whole.where("id is not null and n > 0").groupBy("key").agg(first).select("key", "first.*"))
+        drop_table(whole)
+        self.repeats = not self.docs.groupBy("id").count().where("count > 1").isEmpty()
         # Folded, the carried parities still tell of every column.
         fold = lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [F.col("parity")[j] for j in range(i, PARITIES // 64, CARRIED)])
         carried = [fold(i).alias(f"p{i}") for i in range(CARRIED)]
@@ -176,7 +179,8 @@ class NgramJoin:
         near = pairs.select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y")
         near = cut(near.where(f"{differ} <= nx + ny - 2 * {_need(self.percent)}").select("x", "y"))
         wanted = near.select(F.col("x").alias("id")).union(near.select("y")).distinct().join(self.nodes.select("id", "key"), "id")
-        rows = cut(blocks(self.texts.join(wanted, "id").dropDuplicates(["id", "text"]), self.k))
+        texts = self.texts.join(small(cut(wanted)), "id")
+        rows = cut(blocks(texts.dropDuplicates(["id", "text"]) if self.repeats else texts, self.k))
         out = cut(product(near, rows, self.percent))
         drop_table(rows)
         return out
@@ -198,6 +202,8 @@ class NgramJoin:
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id_, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     join = NgramJoin(docs, k, percent, id_, text)
-    found = join.nodes.select("key", F.col("id").alias("node")).join(join.components(), F.col("node") == F.col("id"), "left").select("key", F.coalesce("component", "node").alias("c"))
+    nodes = cut(join.nodes.select("key", F.col("id").alias("node")))
+    found = nodes.join(join.components(), F.col("node") == F.col("id"), "left").select("key", F.coalesce("component", "node").alias("c"))
+    drop_table(join.nodes)
     out = join.docs.select("id", "n", "key").join(found, "key", "left")
     return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), None).otherwise(F.coalesce("c", "id")).alias("component_id"))
