@@ -16,6 +16,15 @@ from attesta.functions.fixed import BODY_CHARS, GATE, HEAD_WEIGHTS, MARGIN, STOP
 from attesta.functions.text import clean_title, fold, grams, links_of, squeeze, words
 
 
+#: Rows of a table that is broadcast.
+BROADCAST = 500_000
+
+
+def checked(keys: DataFrame) -> DataFrame:
+    """keys, broadcast if they are proven to be few; else joins shuffle them."""
+    return F.broadcast(keys) if keys.limit(BROADCAST + 1).count() <= BROADCAST else keys
+
+
 def heads(mem: DataFrame, folding=fold, body: bool = True) -> DataFrame:
     """head, gram, slug: the distinct grams of each memory's heads. mem: slug, title, hook, body (description is optional)."""
     said = [F.col(c) for c in ("title", "description", "hook") if c in mem.columns]
@@ -78,12 +87,13 @@ def scores(mem: DataFrame, questions: DataFrame, folding=fold, body: bool = True
     idf, an unknown one ln(n), a stop gram nothing.
     """
     n = mem.agg(F.count("*").alias("n"))
-    postings = heads(mem, folding, body)
+    asked = question_grams(questions, folding)
+    asked = asked if body else asked.where("head != 'body'")
+    # Only grams that are asked for leave the task that makes them; both uses read one exchange.
+    postings = heads(mem, folding, body).join(checked(asked.select("head", "gram").distinct()), ["head", "gram"], "left_semi").repartition("head", "gram")
     counted = postings.groupBy("head", "gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # n is one row
     stop = (F.col("df") >= STOP_MIN) & (F.col("df") / F.col("n") > STOP_SHARE)
     freq = counted.select("head", "gram", F.log(F.col("n") / F.col("df")).alias("idf"), stop.alias("is_stop"))
-    asked = question_grams(questions, folding)
-    asked = asked if body else asked.where("head != 'body'")
     known = asked.join(freq, ["head", "gram"], "left").crossJoin(F.broadcast(n)).where("is_stop is null or not is_stop")
     mass = known.groupBy("q", "head").agg(F.sum(F.coalesce("idf", F.log(F.greatest(F.lit(2), F.col("n"))))).alias("mass"))
     live = known.where("idf is not null").select("q", "head", "gram", "idf")

@@ -712,7 +712,11 @@ def compress_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.compression(raw, docs.select(F.col("doc_id").alias("slug"), F.col("source").alias("source_key"), F.expr("n_chars div 4").alias("tokens"))).fillna({"source_key": "", "raw_tokens": 0, "store_ratio": -1.0})
 
 
-@query()
+@query(
+    """SELECT doc_id, CASE WHEN s = '' THEN 'm-' || substring(sha256(title), 1, 12) ELSE s END AS slug FROM (
+    SELECT doc_id, title, regexp_replace(substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '\\.md$', ''), '[^a-z0-9-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS s FROM mem)""",
+    MEM,
+)
 def safe_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.memories(spark, sf_dir).select("doc_id", safe_slug("title").alias("slug"))
 
