@@ -77,3 +77,16 @@ def test_stages_keep_odd_rows_and_columns(spark, sf):
         assert ids == ({1, 4, None} if name == "language" else {1, 2, 3, 4, None})
     assert corpus_pipeline.STAGES[-1][1](spark, df, sf).count() == len(rows)
     assert brute([(1, "a b c")])[0] == {1: (1, 1)}
+
+
+def test_stages_take_long_texts_repeats_ties_and_clashing_columns(spark, sf):
+    long = "the cat and the dog went to the house of the man and then they came back again " * 4000
+    rows = [(1, long, "en", "a", 1), (2, "the dog and the cat are in the house of the man and they are not here", "en", "a", 1), (2, "the dog and the cat are in the house of the man and they are not here", "en", "a", 1), (3, "der hund und die katze sind in dem haus und sie sind nicht hier", "de", "b", 1)]
+    names = ["ll", "soft", "declared", "host", "suffix", "joint", "stays", "place", "at_id", "leak_id", "leak_key", "evidence", "segment", "k1", "id", "text_hash"]
+    df = spark.createDataFrame([(*r, *([7] * len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == corpus_pipeline.COLUMNS and sorted(r.doc_id for r in out.collect()) == [1, 2, 2, 3], name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, sf).count() == 4
+    found = identified(df)
+    assert found.columns == [c for c in df.columns if c != "evidence"] + ["evidence"] and {r.soft for r in found.collect()} == {7}
