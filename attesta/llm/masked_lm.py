@@ -9,7 +9,7 @@ rank (so every class has as many). Any other word is predicted in two steps: an
 its spelling, P(first byte | entry) * product of P(byte | byte before) with an end, from counts over all rare words of all
 texts. So every string has a probability of its own, and those of one place sum to one.
 
-Training (numpy, AdaGrad): texts are dealt by a hash into tasks of about TASK bytes and sorted by it, so what a task learns, and every score,
+Training (numpy, AdaGrad): texts are dealt by a hash of text and id into tasks of about TASK bytes and sorted by it, so what a task learns, and every score,
 depends on the rows alone, not on how they were stored. In each of ROUNDS rounds a task goes once over every window of all its texts, from
 the round's parameters; the tasks' parameters are averaged by the number of windows, as whole multiples of 1 / FIXED, so that
 the order of sums changes nothing, part by part on the executors. A lost task gives the same again. What is gathered grows
@@ -232,14 +232,16 @@ def summed(parts: DataFrame) -> DataFrame:
     return some.select("part", F.lit(0).alias("task"), "sums").repartition("part").mapInArrow(add, schema).select("part", "sums")
 
 
-def trained(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> WindowNet:
+def trained(docs: DataFrame, rounds: int = ROUNDS, text: str = "text", id_: str = "doc_id") -> WindowNet:
     from pyspark import TaskContext
 
     spark = docs.sparkSession
     counts = word_counts(docs, text).orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(VOCABULARY - RARE + 1).collect()
     net = WindowNet.new([r.word for r in counts[1:]])
     tasks = 1 + (counts[0].n if counts else 0) // TASK
-    dealt = docs.select(F.coalesce(text, F.lit("")).alias("t")).select("t", F.xxhash64("t").alias("h")).repartition(tasks, "h").sortWithinPartitions("h").select("t")
+    # Copies of a text go to many tasks, by their ids.
+    own = [F.col(id_)] if id_ in docs.columns else []
+    dealt = docs.select(F.coalesce(text, F.lit("")).alias("t"), *[c.alias("i") for c in own]).select("t", F.xxhash64("t", *["i" for _ in own]).alias("h")).repartition(tasks, "h").sortWithinPartitions("h").select("t")
     for turn in range(rounds):
         given = spark.sparkContext.broadcast(net)
 
