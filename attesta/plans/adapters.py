@@ -25,18 +25,18 @@ mem AS (
            CASE doc_id % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'feedback' WHEN 2 THEN 'project' ELSE 'reference' END AS type,
            source AS section, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS day,
            coalesce(text, '') || chr(10) || 'Noted ' || CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS VARCHAR)
-             || CASE WHEN doc_id % 3 = 0 THEN ' [[doc-' || (7 * doc_id + 3) % n || ']]' ELSE '' END || CASE WHEN doc_id % 50 = 0 THEN ' [[doc-' || (n + doc_id) || ']]' ELSE '' END AS body
+             || CASE WHEN doc_id % 25 <> 12 THEN ' [[doc-' || (7 * doc_id + 3) % n || ']]' ELSE '' END || CASE WHEN doc_id % 50 = 0 THEN ' [[doc-' || (n + doc_id) || ']]' ELSE '' END AS body
     FROM documents, (SELECT count(*) AS n FROM documents))"""
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, slug, title (first sentence), hook (first line), type, section, day, body (text, a dated line, links; of every third to another)."""
+    """doc_id, slug, title (first sentence), hook (first line), type, section, day, body (text, a dated line, links to another but for ids of 12 modulo 25)."""
     docs = table(spark, sf_dir, "documents")
     n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
     text = F.coalesce("text", F.lit(""))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
     kind = F.element_at(F.array(*map(F.lit, ("user", "feedback", "project", "reference"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    near = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" [[doc-"), (7 * F.col("doc_id") + 3) % F.col("n"), F.lit("]]"))).otherwise("")
+    near = F.when(F.col("doc_id") % 25 != 12, F.concat(F.lit(" [[doc-"), (7 * F.col("doc_id") + 3) % F.col("n"), F.lit("]]"))).otherwise("")
     links = F.concat(near, F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit(" [[doc-"), F.col("n") + F.col("doc_id"), F.lit("]]"))).otherwise(""))
     return docs.crossJoin(n).select(
         "doc_id",
@@ -123,6 +123,6 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINK = """
 link AS (
-    SELECT slug AS src, 1 AS pos, 'doc-' || (7 * doc_id + 3) % n AS dst FROM mem, (SELECT count(*) AS n FROM mem) WHERE doc_id % 3 = 0
+    SELECT slug AS src, 1 AS pos, 'doc-' || (7 * doc_id + 3) % n AS dst FROM mem, (SELECT count(*) AS n FROM mem) WHERE doc_id % 25 <> 12
     UNION ALL
-    SELECT slug, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END, 'doc-' || (n + doc_id) FROM mem, (SELECT count(*) AS n FROM mem) WHERE doc_id % 50 = 0)"""
+    SELECT slug, CASE WHEN doc_id % 25 <> 12 THEN 2 ELSE 1 END, 'doc-' || (n + doc_id) FROM mem, (SELECT count(*) AS n FROM mem) WHERE doc_id % 50 = 0)"""
