@@ -11,11 +11,14 @@ from attesta.llm.decontaminate import leaks
 from attesta.llm.exact_dedup import exact_duplicates
 from attesta.llm.language import identified, kept, page_languages
 from attesta.llm.line_dedup import line_groups
+from attesta.llm.main_text import main_texts
 from attesta.llm.mixing import mixed
 from attesta.llm.ngram_join import ngram_components
+from attesta.llm.spelling import variants
 from attesta.llm.token_counts import TokenRollup, counted
 from attesta.llm.token_files import token_files
 from attesta.llm.tokens import public_tokenizer
+from attesta.llm.vector_codes import vector_codes
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +88,67 @@ def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.scored(docs, masked_lm.trained(docs))
 
 
+def op11_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_languages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_source_mix, op3_line_dedup, op4_exact_dedup, op5_token_counts, op6_token_ids, op7_language, op8_toxicity, op9_decontamination, op10_masked_lm, page_language)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join,
+        op2_source_mix,
+        op3_line_dedup,
+        op4_exact_dedup,
+        op5_token_counts,
+        op6_token_ids,
+        op7_language,
+        op8_toxicity,
+        op9_decontamination,
+        op10_masked_lm,
+        op11_tag_path_text,
+        op12_vector_codes,
+        op13_spelling_variants,
+        page_language,
+    )
+}
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Codes of the 64-component vectors by a full search in each round."""
+    four = [f"w{j}" for j in range(4)]
+    steps = [
+        """kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"part AS (SELECT vec_id, label, p, {', '.join(f'v[4 * p + {j + 1}] AS {w}' for j, w in enumerate(four))} FROM kept, range(16) AS t(p))",
+        f"book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, {', '.join(four)} FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64))",
+    ]
+    for k in range(rounds + 1):
+        square = " + ".join(f"(part.{w} - b.{w}) * (part.{w} - b.{w})" for w in four)
+        steps.append(f"near{k} AS (SELECT vec_id, label, p, min(({square}) * 64 + b.e) AS best, {', '.join(f'any_value(part.{w}) AS {w}' for w in four)} FROM part JOIN book{k} AS b USING (p) GROUP BY vec_id, label, p)")
+        if k < rounds:
+            moved = ", ".join(f"coalesce(CAST(floor(n.{w} / n.c) AS BIGINT), b.{w}) AS {w}" for w in four)
+            steps.append(
+                f"book{k + 1} AS (SELECT b.p, b.e, {moved} FROM book{k} AS b LEFT JOIN (SELECT p, best % 64 AS e, count(*) AS c, {', '.join(f'CAST(sum({w}) AS DOUBLE) AS {w}' for w in four)} FROM near{k} GROUP BY ALL) AS n ON n.p = b.p AND n.e = b.e)"
+            )
+    steps.append(f"codes AS (SELECT vec_id, label, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id, label)")
+    named = f"(SELECT sha256(string_agg(concat_ws(',', {', '.join(four)}), ',' ORDER BY p, e)) FROM book{rounds})"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {named} AS codebooks_sha256 FROM codes"
+
 
 ORACLES = {
+    "op12_vector_codes": _codes_sql(),
     "op4_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS raw,
