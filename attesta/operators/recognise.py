@@ -115,7 +115,9 @@ def lookup(mem: DataFrame, questions: DataFrame, top: int = 3, gate: float = GAT
     """
     rows = scores(mem, questions, folding, body) if scored is None else scored
     order = Window.partitionBy("q").orderBy(F.desc("score"), "slug")
-    ranked = rows.select("q", "slug", "score", F.row_number().over(order).cast("long").alias("rank"), F.lead("score").over(order).alias("next")).where(F.col("rank") <= max(1, top))
+    # The rank alone is bounded first, so that each task keeps its own best ones before the shuffle; the next score is looked up among the few that are left.
+    best = rows.select("q", "slug", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= max(1, top) + 1)
+    ranked = best.select("q", "slug", "score", F.col("rank").cast("long").alias("rank"), F.lead("score").over(order).alias("next")).where(F.col("rank") <= max(1, top))
     first = ranked.where("rank = 1")
     reason = F.when(F.col("score") < gate, "below gate").when((F.col("next") > 0) & (F.col("score") / F.col("next") < MARGIN), "margin")
     verdicts = questions.select("q").distinct().join(first.select("q", "score", reason.alias("reason"), F.lit(True).alias("voted")), "q", "left")
