@@ -38,8 +38,13 @@ def squeeze(text: Column | str) -> Column:
 
 
 def fold(text: Column | str) -> Column:
-    """The engine-side folding: lower case, after full-width spaces become plain ones. See udfs.nfkc_fold for NFKC and casefold."""
-    return F.lower(F.translate(_c(text), "　 ", "  "))
+    """Unicode compatibility composition, then case folding, within the JVM: ICU's, which Spark brings, called by reflection. ASCII is lower-cased.
+
+    A projection's function: Spark takes reflection for non-deterministic, so it belongs in select, not in a join's condition.
+    """
+    t = _c(text)
+    icu = lambda of, method, x: F.reflect(F.lit(f"com.ibm.icu.{of}"), F.lit(method), x, F.lit(True))
+    return F.when(t.rlike(r"[^\x00-\x7f]"), icu("lang.UCharacter", "foldCase", icu("text.Normalizer", "compose", t))).otherwise(F.lower(t))
 
 
 def words(folded: Column | str) -> Column:

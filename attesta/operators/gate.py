@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.durable import written
 from attesta.functions.fixed import CLASSES, CUE_MAX, CUE_MIN, CUES, ENTRUSTED, FACT_AS_IDEA, FAILURE, FORGETTING_TAGS, JUDGEMENT, QUOTE_MAX, QUOTE_MIN, QUOTES, WARNING
 from attesta.functions.text import fold, squeeze
+from attesta.operators.recognise import checked
 
 
 def haystacks(segments: DataFrame) -> DataFrame:
@@ -33,29 +35,49 @@ def found_in(q: DataFrame, segments: DataFrame) -> DataFrame:
     return q.join(hits, ["cand", "n"], "left").select(*q.columns, F.coalesce(F.when(F.col("f").isNotNull(), known), F.array().cast("array<string>")).alias("found"))
 
 
-def anchor(text: Column) -> Column:
-    """The longest word that stands between others of a squeezed text, null without one: where the text occurs, it is a whole word there."""
+def _inner(text: Column) -> Column:
+    """The words that stand between others of a squeezed text: where the text occurs, they are whole words there."""
     w = F.split(text, " ")
-    inner = F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 2))
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))
-    return longest["w"]
+    return F.array_distinct(F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 2)))
+
+
+#: Letters of the piece by which quotes of one or two words are found where there are more than FEW of them.
+PIECE, FEW = 6, 64
+
+
+def _pieces(word: Column, sizes: list[int]) -> Column:
+    """All runs of so many letters of a word."""
+    cut = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*map(cut, sizes))))
 
 
 def echoes(q: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """The distinct quotes that some text of the store contains, verbatim after squeezing.
 
-    An equi-join on an inner word of the quote proposes texts, by their hash; the texts proposed are fetched once each, and containment decides.
-    Only quotes of one or two words need the theta join.
+    A quote with words between others is looked for by the one of them that the fewest texts have; if no text has one of them, no text has the quote. Others are looked for by the first PIECE letters of their longest
+    word, among the pieces of the texts' words, or, if they are FEW, in every text. Texts are never shuffled as long as the words that are asked for, and then the (text, quote) pairs that they propose, are few enough to be broadcast; containment
+    decides. An empty quote is contained in any text.
     """
-    quote = q.select("quote").distinct().withColumn("word", anchor(F.col("quote")))
+    quote = written(q.select("quote").distinct().where("quote is not null").select("quote", _inner(F.col("quote")).alias("inner")))
     store = texts.select(squeeze(F.coalesce(text, F.lit(""))).alias("t")).withColumn("at", F.xxhash64("t"))
     spelled = store.select("at", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
-    wanted = quote.where("word is not null")
-    proposed = spelled.join(wanted, "word").groupBy("at").agg(F.collect_set("quote").alias("quotes"))
-    held = store.join(proposed, "at").select(F.explode(F.filter("quotes", lambda x: F.col("t").contains(x))).alias("quote"))
-    long = held.distinct()
-    short = quote.where("word is null").join(store, F.col("t").contains(F.col("quote"))).select("quote")
-    return long.union(short).distinct()
+    inner = quote.select("quote", F.explode("inner").alias("word"))
+    held = spelled.join(checked(inner.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    rarest = inner.join(held, "word", "left").groupBy("quote").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r")).where("r.df > 0").select("quote", "r.word")
+    pairs = spelled.join(checked(written(rarest)), "word").select("at", "quote")
+    longest = F.array_max(F.transform(F.split("quote", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = written(quote.where(F.size("inner") == 0).select("quote", F.substring(longest, 1, PIECE).alias("piece")))
+    few = short.where("piece != ''").select("quote")
+    if few.limit(FEW + 1).count() <= FEW:
+        seen = store.join(F.broadcast(few), F.col("t").contains(F.col("quote"))).select("quote")  # FEW rows
+    else:
+        sizes = sorted(r.n for r in short.select(F.length("piece").alias("n")).distinct().collect() if r.n)  # at most PIECE
+        cut = spelled.select("at", F.explode(_pieces(F.col("word"), sizes)).alias("piece"))
+        pairs = pairs.union(cut.join(checked(short.where("piece != ''")), "piece").select("at", "quote"))
+        seen = few.where("false")
+    hits = store.join(checked(written(pairs.distinct())), "at").where(F.col("t").contains(F.col("quote"))).select("quote").union(seen).distinct()
+    empty = short.where("piece = ''").select("quote").join(F.broadcast(texts.limit(1).select(F.lit(1).alias("any"))), how="left_semi")  # one row
+    return hits.union(empty)
 
 
 def gate(cands: DataFrame, segments: DataFrame, store: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,9 @@
 Postings are a long table (head, gram, slug); document frequency, stop grams and votes are aggregations, the gate is a
 window. Stop grams leave before the join, which also keeps any one gram from growing with the store: a
 posting list is at most STOP_SHARE of it.
+
+Memories are dealt by slug once. Each task makes its memories' postings, keeps those that are asked for and adds up its memories' votes: nothing but frequencies is shuffled, and no
+posting leaves its task, as long as the questions' grams are few enough to be broadcast. Beyond that both sides are shuffled by gram.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.durable import written
 from attesta.functions.fixed import BODY_CHARS, GATE, HEAD_WEIGHTS, MARGIN, STOP_MIN, STOP_SHARE
 from attesta.functions.text import clean_title, fold, grams, links_of, squeeze, words
 
@@ -31,6 +35,9 @@ def heads(mem: DataFrame, folding=fold, body: bool = True) -> DataFrame:
     meta = F.concat_ws(" ", *said)
     links = F.concat_ws(" ", links_of(F.col("body")))
     m = mem.select("slug", folding(F.concat_ws(" ", meta, links)).alias("w"), folding(meta).alias("m"), folding(F.substring("body", 1, BODY_CHARS)).alias("b"))
+    spark = mem.sparkSession
+    # By a number, so that the tasks are not merged again: the grams are many times the size of the text.
+    m = m.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "slug")
     sets = [("word", words("w")), ("char3", grams("m", 3)), ("char2", grams("m", 2))] + ([("body", grams("b", 3))] if body else [])
     each = F.array(*[F.struct(F.lit(name).alias("head"), s.alias("grams")) for name, s in sets])
     return m.select("slug", F.explode(each).alias("h")).select("h.head", F.explode("h.grams").alias("gram"), "slug")
@@ -88,24 +95,23 @@ def scores(mem: DataFrame, questions: DataFrame, folding=fold, body: bool = True
     """
     n = mem.agg(F.count("*").alias("n"))
     asked = question_grams(questions, folding)
-    asked = asked if body else asked.where("head != 'body'")
-    # Only grams that are asked for leave the task that makes them; both uses read one exchange.
-    postings = heads(mem, folding, body).join(checked(asked.select("head", "gram").distinct()), ["head", "gram"], "left_semi").repartition("head", "gram")
+    asked = written(asked if body else asked.where("head != 'body'"))
+    # Only grams that are asked for leave the task that makes them.
+    postings = heads(mem, folding, body).join(checked(asked.select("head", "gram").distinct()), ["head", "gram"], "left_semi")
     counted = postings.groupBy("head", "gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # n is one row
     stop = (F.col("df") >= STOP_MIN) & (F.col("df") / F.col("n") > STOP_SHARE)
     freq = counted.select("head", "gram", F.log(F.col("n") / F.col("df")).alias("idf"), stop.alias("is_stop"))
-    known = asked.join(freq, ["head", "gram"], "left").crossJoin(F.broadcast(n)).where("is_stop is null or not is_stop")
-    mass = known.groupBy("q", "head").agg(F.sum(F.coalesce("idf", F.log(F.greatest(F.lit(2), F.col("n"))))).alias("mass"))
-    live = known.where("idf is not null").select("q", "head", "gram", "idf")
-    votes = live.join(postings, ["head", "gram"]).groupBy("q", "slug", "head").agg(F.sum("idf").alias("votes"))
-    share = votes.join(mass, ["q", "head"]).where("mass > 0").select("q", "slug", "head", (F.col("votes") / F.col("mass")).alias("share"))
-    names = cited(mem, questions, folding)
+    known = written(asked.join(freq, ["head", "gram"], "left").crossJoin(F.broadcast(n)).where("is_stop is null or not is_stop"))
+    mass = known.groupBy("q", "head").agg(F.sum(F.coalesce("idf", F.log(F.greatest(F.lit(2), F.col("n"))))).alias("mass")).where("mass > 0")
+    live = written(known.where("idf is not null").join(mass, ["q", "head"]).select("q", "head", "gram", (F.col("idf") / F.col("mass")).alias("share")))
+    of_head = [F.sum(F.when(F.col("head") == h, F.col("share"))).alias(h) for h in HEAD_WEIGHTS if h != "name"]
+    votes = postings.join(checked(live), ["head", "gram"]).groupBy("q", "slug").agg(*of_head)
+    names = written(cited(mem, questions, folding))
     best = names.groupBy("q").agg(F.max("score").alias("best"))
-    name = names.join(best, "q").select("q", "slug", F.lit("name").alias("head"), (F.col("score") / F.col("best")).alias("share"))
-    rows = share.union(name)
-    weighted = reduce(lambda a, h: a.when(F.col("head") == h[0], F.col("share") * h[1]), HEAD_WEIGHTS.items(), F.when(F.lit(False), 0.0))
-    each = [F.round(F.max(F.when(F.col("head") == h, F.col("share"))), 3).alias(f"{h}_share") for h in HEAD_WEIGHTS]
-    return rows.groupBy("q", "slug").agg(F.round(F.sum(weighted), 9).alias("score"), *each)
+    name = names.join(best, "q").select("q", "slug", (F.col("score") / F.col("best")).alias("name"))
+    rows = votes.join(name, ["q", "slug"], "full")
+    weighted = reduce(lambda a, b: a + b, [F.coalesce(h, F.lit(0.0)) * w for h, w in HEAD_WEIGHTS.items()])
+    return rows.select("q", "slug", F.round(weighted, 9).alias("score"), *[F.round(h, 3).alias(f"{h}_share") for h in HEAD_WEIGHTS])
 
 
 def lookup(mem: DataFrame, questions: DataFrame, top: int = 3, gate: float = GATE, folding=fold, body: bool = True, scored: DataFrame | None = None) -> DataFrame:
@@ -116,7 +122,7 @@ def lookup(mem: DataFrame, questions: DataFrame, top: int = 3, gate: float = GAT
     rows = scores(mem, questions, folding, body) if scored is None else scored
     order = Window.partitionBy("q").orderBy(F.desc("score"), "slug")
     # The rank alone is bounded first, so that each task keeps its own best ones before the shuffle; the next score is looked up among the few that are left.
-    best = rows.select("q", "slug", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= max(1, top) + 1)
+    best = written(rows.select("q", "slug", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= max(1, top) + 1))
     ranked = best.select("q", "slug", "score", F.col("rank").cast("long").alias("rank"), F.lead("score").over(order).alias("next")).where(F.col("rank") <= max(1, top))
     first = ranked.where("rank = 1")
     reason = F.when(F.col("score") < gate, "below gate").when((F.col("next") > 0) & (F.col("score") / F.col("next") < MARGIN), "margin")

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.durable import written
 from attesta.functions.fixed import TOKEN
 from attesta.functions.text import grounded_share, invented_numbers, links_of, normalize_tags, number_tokens, safe_slug, script, token_estimate
 from attesta.operators import context, cues, edges, gate, intake, maps, measure, names, recognise
@@ -34,12 +35,14 @@ def query(sql: str | None = None, *ctes: str):
 # Recognition
 
 _GRAM = "SELECT DISTINCT '{h}' AS head, substring(t, i, {n}) AS gram, {k} AS k FROM {src}, unnest(range(1, greatest(1, length(t) - {n} + 2))) AS r(i) WHERE substring(t, i, {n}) <> repeat(' ', {n})"
-_SQ = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+#: Of what NFKC and case folding change, the tables' letters have the sharp s.
+_LOW = "replace(lower({}), 'ß', 'ss')"
+_SQ = f"trim(regexp_replace({_LOW}, '\\s+', ' ', 'g'))"
 HEADS = f"""
 meta AS (SELECT slug, {_SQ.format("title || ' ' || hook")} AS t FROM mem),
 opening AS (SELECT slug, {_SQ.format("left(body, 500)")} AS t FROM mem),
 heads AS (
-    SELECT DISTINCT 'word' AS head, unnest(regexp_extract_all(lower(title || ' ' || hook || ' ' || array_to_string(regexp_extract_all(body, '\\[\\[([^\\]]{{1,60}})\\]\\]', 1), ' ')), '{TOKEN}')) AS gram, slug AS k FROM mem
+    SELECT DISTINCT 'word' AS head, unnest(regexp_extract_all(replace(lower(title || ' ' || hook || ' ' || array_to_string(regexp_extract_all(body, '\\[\\[([^\\]]{{1,60}})\\]\\]', 1), ' ')), 'ß', 'ss'), '{TOKEN}')) AS gram, slug AS k FROM mem
     UNION ALL {_GRAM.format(h="char3", n=3, k="slug", src="meta")}
     UNION ALL {_GRAM.format(h="char2", n=2, k="slug", src="meta")}
     UNION ALL {_GRAM.format(h="body", n=3, k="slug", src="opening")})"""
@@ -49,12 +52,12 @@ freq AS (SELECT head, gram, count(*) AS df, ln(n / count(*)) AS idf, count(*) >=
 ASKED = f"""
 qn AS (SELECT q, {_SQ.format("question")} AS t FROM question),
 asked AS (
-    SELECT DISTINCT 'word' AS head, unnest(regexp_extract_all(lower(question), '{TOKEN}')) AS gram, q AS k FROM question
+    SELECT DISTINCT 'word' AS head, unnest(regexp_extract_all({_LOW.format('question')}, '{TOKEN}')) AS gram, q AS k FROM question
     UNION ALL {_GRAM.format(h="char3", n=3, k="q", src="qn")}
     UNION ALL {_GRAM.format(h="char2", n=2, k="q", src="qn")}
     UNION ALL {_GRAM.format(h="body", n=3, k="q", src="qn")})"""
 NAMED = """
-clean AS (SELECT slug, regexp_replace(lower(title), '^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$', '', 'g') AS title FROM mem),
+clean AS (SELECT slug, regexp_replace(replace(lower(title), 'ß', 'ss'), '^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$', '', 'g') AS title FROM mem),
 named AS (SELECT q, slug, (regexp_matches(t, '(^|[^a-z0-9-])' || slug || '($|[^a-z0-9-])'))::INT + (length(title) >= 3 AND contains(t, title))::INT AS score FROM qn, clean)"""
 SCORED = """
 known AS (SELECT k AS q, head, gram, idf FROM asked LEFT JOIN freq USING (head, gram) WHERE is_stop IS NULL OR NOT is_stop),
@@ -317,7 +320,7 @@ def callsigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.callsigns(rows).where("text != ''").select("key", "n", "text", F.col("refused").isNull().alias("kept"))
 
 
-ROUTES = "route AS (SELECT DISTINCT trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS key, slug FROM mem WHERE title <> ''), ledger AS (SELECT key, CASE WHEN count(*) = 1 THEN min(slug) END AS slug, count(*) AS n FROM route GROUP BY key)"
+ROUTES = "route AS (SELECT DISTINCT trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '\\s+', ' ', 'g')) AS key, slug FROM mem WHERE title <> ''), ledger AS (SELECT key, CASE WHEN count(*) = 1 THEN min(slug) END AS slug, count(*) AS n FROM route GROUP BY key)"
 
 
 def _ledger(mem: DataFrame) -> DataFrame:
@@ -330,7 +333,7 @@ def cue_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT q, min(slug) AS slug FROM (SELECT DISTINCT q, slug FROM (SELECT q, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS t FROM question) JOIN ledger
+    """SELECT q, min(slug) AS slug FROM (SELECT DISTINCT q, slug FROM (SELECT q, trim(regexp_replace(replace(lower(question), 'ß', 'ss'), '\\s+', ' ', 'g')) AS t FROM question) JOIN ledger
     ON ledger.slug IS NOT NULL AND contains(t, key) AND (NOT regexp_matches(key, '[a-z0-9]') OR regexp_matches(t, '(^|[^a-z0-9-])' || regexp_escape(key) || '($|[^a-z0-9-])'))) GROUP BY q HAVING count(*) = 1""",
     MEM,
     QUESTION,
@@ -538,9 +541,10 @@ def recall_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = adapters.questions(spark, sf_dir, mem)
     cue = cues.direct(asked, _ledger(mem))
     looked = recognise.lookup(mem, asked)
-    picked = context.tiers(asked, cue, looked, None, recognise.by_words(adapters.index_lines(mem), asked))
+    picked = written(context.tiers(asked, cue, looked, None, recognise.by_words(adapters.index_lines(mem), asked)))  # read three times
     live = names.live_links(names.links(mem), mem)
     walked = names.walk(picked.where("slug is not null").select("q", "slug"), live, 1).join(picked.select("q", "slug", "rank"), ["q", "slug"], "left")
+    walked = written(walked)  # the few that are shown; only their bodies are fetched
     order = F.row_number().over(_by_question())
     rows = walked.join(mem.select("slug", "body"), "slug").join(asked, "q").select("q", order.alias("rank"), "slug", "question", "body")
     done = context.assembled(rows, "docs", chars=2000, total=5000)

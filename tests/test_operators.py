@@ -39,31 +39,31 @@ def test_gate(spark):
 
 def test_tags_and_callsigns(spark):
     schema = "key long, tags array<string>, evidence array<struct<class:string,text:string>>, callsigns array<string>"
-    e = [("TOOL", "exit: error 3"), ("USER", "please remember this: 全員野球 and FreeToken")]
-    df = spark.createDataFrame([(1, ["commitment", "decision", "entrusted", "expired", "formative", "landmine", "recurred"], e, ["FreeToken", "全員野球", "freetoken", "remember this", "ab", "…!!", "invented words"]), (2, ["commitment", "landmine"], [("TOOL", "all quiet")], [])], schema)
+    e = [("TOOL", "exit: error 3"), ("USER", "please remember this: 山小屋便り and OpenGate")]
+    df = spark.createDataFrame([(1, ["commitment", "decision", "entrusted", "expired", "formative", "landmine", "recurred"], e, ["OpenGate", "山小屋便り", "opengate", "remember this", "ab", "…!!", "invented words"]), (2, ["commitment", "landmine"], [("TOOL", "all quiet")], [])], schema)
     got = rows(gate.verified_tags(df), "key", "tag", "kept", "basis_class")
     assert got == sorted([(1, "commitment", True, "USER"), (1, "decision", True, None), (1, "entrusted", True, "USER"), (1, "expired", False, None), (1, "formative", True, "TOOL"), (1, "landmine", True, "TOOL"), (1, "recurred", False, None), (2, "commitment", False, None), (2, "landmine", False, None)], key=str)
     calls = {r.text: r.refused for r in gate.callsigns(df).collect()}
-    assert calls["FreeToken"] is None and calls["全員野球"] is None and calls["remember this"].startswith("at most two") and calls["ab"].startswith("a callsign") and calls["invented words"].startswith("needs the human") and calls["…!!"].startswith("whitespace")
+    assert calls["OpenGate"] is None and calls["山小屋便り"] is None and calls["remember this"].startswith("at most two") and calls["ab"].startswith("a callsign") and calls["invented words"].startswith("needs the human") and calls["…!!"].startswith("whitespace")
 
 
 MEM = "slug string, title string, hook string, body string"
 
 
 def test_lookup_is_silent_unless_sure(spark):
-    mem = spark.createDataFrame([("ssd-tier", "SSD tier", "inference from flash at 3 GB/s", "the ssd tier holds layers"), ("blue-engine", "Blue engine", "ships in May", "[[ssd-tier]] engine"), ("go", "Go", "a board game", "stones"), ("red-engine", "Red engine", "ships in June", "engine")], MEM)
-    q = spark.createDataFrame([("1", "what is ssd-tier?"), ("2", "tell me about the Blue engine"), ("3", "the algorithm of cargo ships"), ("4", ""), ("5", "weather in Paris")], "q string, question string")
+    mem = spark.createDataFrame([("oak-shelf", "Oak shelf", "boards of four inches on iron", "the oak shelf holds jars"), ("blue-engine", "Blue engine", "ships in May", "[[oak-shelf]] engine"), ("go", "Go", "a board game", "stones"), ("red-engine", "Red engine", "ships in June", "engine")], MEM)
+    q = spark.createDataFrame([("1", "what is oak-shelf?"), ("2", "tell me about the Blue engine"), ("3", "the category of mango trees"), ("4", ""), ("5", "concerts at Lisbon")], "q string, question string")
     got = {r.q: (r.verdict, r.slug) for r in recognise.lookup(mem, q, top=1).collect()}
-    assert got["1"] == ("ok", "ssd-tier") and got["2"] == ("ok", "blue-engine") and got["4"] == ("untestable", None) and got["5"][0] in ("untestable", "no-confident-hit") and got["3"][1] is None
+    assert got["1"] == ("ok", "oak-shelf") and got["2"] == ("ok", "blue-engine") and got["4"] == ("untestable", None) and got["5"][0] in ("untestable", "no-confident-hit") and got["3"][1] is None
     assert ("go", "3") not in rows(recognise.cited(mem, q), "slug", "q")
 
 
 def test_resolve_and_walk(spark):
-    slugs = spark.createDataFrame([("ssd-tier-mission",), ("Blue-Engine",), ("a",), ("b",), ("c",)], "slug string")
+    slugs = spark.createDataFrame([("oak-shelf-plan",), ("Blue-Engine",), ("a",), ("b",), ("c",)], "slug string")
     titles = spark.createDataFrame([("the blue one", "Blue-Engine"), ("ghost", "gone")], "title string, slug string")
-    n = spark.createDataFrame([(x,) for x in ("ssd-tier-mission.md", "[[The Blue One]]", "blue-engine", "ssd-tier-inference-mission", "zzz", "ghost", " ")], "name string")
+    n = spark.createDataFrame([(x,) for x in ("oak-shelf-plan.md", "[[The Blue One]]", "blue-engine", "oak-shelf-kitchen-plan", "zzz", "ghost", " ")], "name string")
     got = {r.name: (r.slug, r.tier) for r in names.resolve(n, slugs, titles).collect()}
-    assert got == {"ssd-tier-mission.md": ("ssd-tier-mission", "exact"), "[[The Blue One]]": ("Blue-Engine", "title"), "blue-engine": ("Blue-Engine", "case"), "ssd-tier-inference-mission": ("ssd-tier-mission", "overlap"), "zzz": (None, "none"), "ghost": (None, "none")}
+    assert got == {"oak-shelf-plan.md": ("oak-shelf-plan", "exact"), "[[The Blue One]]": ("Blue-Engine", "title"), "blue-engine": ("Blue-Engine", "case"), "oak-shelf-kitchen-plan": ("oak-shelf-plan", "overlap"), "zzz": (None, "none"), "ghost": (None, "none")}
     links = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")], "src string, dst string")
     start = spark.createDataFrame([("q", "a")], "q string, slug string")
     assert rows(names.walk(start, links, 1), "slug", "depth") == [("a", 0), ("b", 1)]
@@ -101,22 +101,22 @@ def test_ages_and_trail(spark):
 
 
 def test_trims_never_lie():
-    desc = "The bake took 796.5 seconds on ds4-tp8, ⚠ with 12,500 rows → 3.7 GB (and a long explanation of why it did so that nobody will read) — the rest is history"
+    desc = "The crossing took 512.5 seconds with kx7-ab9, ⚠ past 18,200 buoys → 4.9 GB (and every captain has a story about it that goes on for hours) — nobody was hurt"
     for budget in (6, 8, 12, 16, 24):
-        t = maps.trimmed(desc, "Bake", budget)
+        t = maps.trimmed(desc, "Crossing", budget)
         assert t and set(maps._canonical_numbers(t)) <= set(maps._canonical_numbers(desc)) and t.count("(") == t.count(")")
     assert maps.trimmed("short", "t") == "short"
-    assert maps.salient("3.7 seed, 12.5 GB and ⚠ foo_bar") == ["12.5 GB", "seed", "and", "foo_bar", "⚠️"]
+    assert maps.salient("4.9 moor, 18.5 GB and ⚠ tin_cup") == ["18.5 GB", "moor", "and", "tin_cup", "⚠️"]
     assert len(TOKEN_WEIGHTS) == 6
 
 
 def test_first_violation(spark):
     from pyspark.sql import functions as F
 
-    desc = "bake of ds4-tp8 took 796 s, not 900 s; 5 → 7, superseded"
-    cases = [("", "empty"), ("memo", "dead word"), ("★Bake", "restates the title"), ("bake took 797 s, not superseded", "invented number: 797"), ("took 900 s, not 796GB, superseded", "number re-bound: 796|GB"), ("7 → 5 not superseded", "arrow reversed or invented: 7→5"), ("the user decided: not superseded", "credits the human where the line does not"), ("★ bake not superseded", "invented marker ★"), ("bake [[x]] not superseded", "invented link [[x]]"), ("bake of ds4-tp not superseded", "cut or invented identifier: ds4-tp"), ("never not superseded", "negation invented: never"), ("bake took 796 s superseded", "negation dropped"), ("bake took 796 s, not 900 s", "retirement word dropped"), ("not superseded zzzz yyyy xxxx", "ungrounded (2-gram overlap below the floor)"), ("bake took 796 s, not 900 s; superseded", None)]
+    desc = "crossing of kx7-ab9 took 512 s, not 640 s; 3 → 8, superseded"
+    cases = [("", "empty"), ("memo", "dead word"), ("★Crossing", "restates the title"), ("crossing took 513 s, not superseded", "invented number: 513"), ("took 640 s, not 512GB, superseded", "number re-bound: 512|GB"), ("8 → 3 not superseded", "arrow reversed or invented: 8→3"), ("the user decided: not superseded", "credits the human where the line does not"), ("★ crossing not superseded", "invented marker ★"), ("crossing [[x]] not superseded", "invented link [[x]]"), ("crossing of kx7-ab not superseded", "cut or invented identifier: kx7-ab"), ("never not superseded", "negation invented: never"), ("crossing took 512 s superseded", "negation dropped"), ("crossing took 512 s, not 640 s", "retirement word dropped"), ("not superseded zzzz yyyy xxxx", "ungrounded (2-gram overlap below the floor)"), ("crossing took 512 s, not 640 s; superseded", None)]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string")
-    got = df.select("i", maps.first_violation(F.col("c"), F.lit("Bake"), F.lit(desc)).alias("why")).orderBy("i").collect()
+    got = df.select("i", maps.first_violation(F.col("c"), F.lit("Crossing"), F.lit(desc)).alias("why")).orderBy("i").collect()
     assert [r.why for r in got] == [w for _, w in cases]
 
 
@@ -139,10 +139,10 @@ def test_context_ceiling(spark):
 
 
 def test_cues(spark):
-    routes = spark.createDataFrame([("Free Token", "a", "1"), ("free  token", "a", "0"), ("hybrid", "b", "2"), ("shared", "a", "3"), ("shared", "b", "4"), ("全員野球", "c", "5")], "text string, slug string, digest string")
+    routes = spark.createDataFrame([("River Gate", "a", "1"), ("river  gate", "a", "0"), ("larch", "b", "2"), ("shared", "a", "3"), ("shared", "b", "4"), ("山小屋便り", "c", "5")], "text string, slug string, digest string")
     led = cues.ledger(routes)
-    assert {r.key: r.slug for r in led.collect()} == {"free token": "a", "hybrid": "b", "shared": None, "全員野球": "c"}
-    q = spark.createDataFrame([("1", "use Free Token now"), ("2", "hybrids are many"), ("3", "hybrid or free token"), ("4", "あの全員野球だ"), ("5", "shared")], "q string, question string")
+    assert {r.key: r.slug for r in led.collect()} == {"river gate": "a", "larch": "b", "shared": None, "山小屋便り": "c"}
+    q = spark.createDataFrame([("1", "use River Gate now"), ("2", "larches are many"), ("3", "larch or river gate"), ("4", "あの山小屋便りだ"), ("5", "shared")], "q string, question string")
     assert rows(cues.direct(q, led), "q", "slug") == [("1", "a"), ("4", "c")]
 
 
@@ -186,3 +186,30 @@ def test_models_are_injected(spark):
     slugs = spark.createDataFrame([("alpha",), ("beta",)], "slug string")
     assert rows(models.picks(out, slugs), "q", "rank", "slug") == [("1", 1, "alpha"), ("2", 1, "beta"), ("3", 1, None)]
     assert {r.answer for r in models.answers(q, F.col("question")).collect()} == {None}
+
+
+def test_echoes_of_any_length(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(1)
+    some = ["abc", "abcdef", "bcdefg", "x", "yy", "zzz", "abcdefghij", "de"]
+    texts = [" ".join(rnd.choice(some) for _ in range(rnd.randint(0, 9))) for _ in range(60)] + [None]
+    quotes = [" ".join(rnd.choice([*some, "bc", "abcde", "ij x"]) for _ in range(rnd.randint(1, 4))) for _ in range(120)] + ["", "nothing", "abc  def", None]
+    q, t = spark.createDataFrame([(x,) for x in quotes], "quote string"), spark.createDataFrame([(x,) for x in texts], "text string")
+    want = {x for x in quotes if x is not None and any(x in " ".join((y or "").split()) for y in texts)}
+    for few in (1000, 0):
+        monkeypatch.setattr(gate, "FEW", few)
+        assert sorted(r.quote for r in gate.echoes(q, t).collect()) == sorted(want)
+    assert gate.echoes(q, t.where("false")).count() == gate.echoes(q.where("false"), t).count() == 0
+
+
+def test_names_are_known_in_any_form(spark):
+    mem = spark.createDataFrame([("full-street", "Straße", "the long road to the mill", "x"), ("other", "Other", "nothing of the kind", "y")], MEM)
+    q = spark.createDataFrame([("1", "ＦＵＬＬ-ＳＴＲＥＥＴ?"), ("2", "where is the STRASSE"), ("3", "die straße")], "q string, question string")
+    assert {(r.q, r.slug) for r in recognise.cited(mem, q).collect()} == {(i, "full-street") for i in "123"}
+    led = cues.ledger(spark.createDataFrame([("Ｒｉｖｅｒ Straße", "a", "1")], "text string, slug string, digest string"))
+    assert [r.key for r in led.collect()] == ["river strasse"]
+    asked = spark.createDataFrame([("1", "to River  STRASSE now")], "q string, question string")
+    assert rows(cues.direct(asked, led), "q", "slug") == [("1", "a")]
+    e = spark.createDataFrame([(1, ["ﬁ"], [("USER", "the ﬁ one")])], "key long, callsigns array<string>, evidence array<struct<class:string,text:string>>")
+    assert gate.callsigns(e).first().refused.startswith("a callsign")  # two letters
