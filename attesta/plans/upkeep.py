@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.durable import shared_dir
-from attesta.operators import budget, drafts, maps, novelty, receipts
+from attesta.operators import budget, drafts, edges, maps, names, novelty, receipts, tidy
 from attesta.plans import adapters
 from attesta.plans.adapters import CANDIDATE, LINE, MEM, table
-from attesta.plans.catalogue import ASKED, EST, FIRSTS, FREQ, HEADS, LAYER, NAMED, SCORED, _firsts, _layers, query
-from attesta.sources import journals
+from attesta.plans.catalogue import ASKED, EDGED, EST, FIRSTS, FREQ, HEADS, LAYER, NAMED, SCORED, _derived, _firsts, _layers, query
+from attesta.sources import journals, logs
 from attesta.sources.derived import Derived
 from attesta.sources.writer import StoreTable
 from attesta.streaming import intake, tracks
@@ -262,3 +262,102 @@ def trail_published(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise RuntimeError("a map of an older store was published")
     held = seen(trail._rows(trail.record()), "after a lost race")
     return first.union(held).union(seen(trail.fresh(build), "rebuilt"))
+
+
+# Maps: what leads on, and which one fits
+
+_TRAIL = f"""
+once AS (SELECT age, slug, line, {EST.format("line")} AS cost FROM (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY age, slug) AS r FROM layered JOIN first_line USING (slug) WHERE layer = 'fresh') WHERE r = 1),
+run AS (SELECT row_number() OVER w AS n, slug, sum(cost) OVER (ORDER BY age, slug ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM once WINDOW w AS (ORDER BY age, slug)),
+map AS (SELECT n, slug, used FROM run WHERE n = 1 OR used <= 20000)"""
+
+
+@query(
+    """, next AS (SELECT row_number() OVER (ORDER BY n, target, type) AS r, source, target, type FROM map JOIN derived ON source = slug WHERE outcome = 'edge' AND type IN ('continues', 'next'))
+SELECT r, '↳ ' || source || ' ' || type || ' → ' || target AS line FROM next WHERE r <= 3""",
+    MEM,
+    LINE,
+    LAYER,
+    FIRSTS,
+    EDGED,
+    _TRAIL,
+)
+def trail_onward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first edges that lead on from the trail."""
+    mem = adapters.memories(spark, sf_dir)
+    rows = maps.trail(_layers(mem), _firsts(mem), 20_000)
+    return maps.onward(rows, _derived(spark, sf_dir).where("outcome = 'edge'"))
+
+
+@query(f"SELECT source, full_tokens, CASE WHEN full_tokens <= 2000 THEN 'full' WHEN full_tokens // 3 <= 8000 THEN 'woven' ELSE 'constellation' END AS mode FROM (SELECT source, sum({EST.format('text')})::BIGINT AS full_tokens FROM documents GROUP BY source)")
+def resident_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as a store: whether its whole index, its woven map (here a third of it) or its sectors fit the window."""
+    t = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(maps.token_estimate("text")).alias("full_tokens"))
+    return t.select("source", "full_tokens", maps.resident_mode(F.col("full_tokens"), F.floor(F.col("full_tokens") / 3), 40_000).alias("mode"))
+
+
+# Tidy
+
+_RAG = """
+entries AS (SELECT doc_id AS line_no, slug, CASE doc_id % 6 WHEN 0 THEN 'T' ELSE slug END AS t, CASE doc_id % 3 WHEN 0 THEN 'tiny' ELSE 'a trigger that one can recognise' END AS d, body FROM mem),
+was AS (SELECT line_no, slug, '- [' || t || '](' || slug || '.md) — ' || d AS line, d, body FROM entries),
+fix AS (SELECT line_no, slug, line, CASE WHEN line_no % 4 = 1 THEN 'refused' WHEN line_no % 5 = 2 THEN 'memory changed' WHEN line_no % 7 = 3 THEN 'line moved' ELSE 'fixed' END AS outcome FROM was WHERE d = 'tiny' AND line_no % 11 <> 4)"""
+
+
+@query(
+    """SELECT was.line_no, CASE WHEN outcome = 'fixed' THEN '- [Better](' || was.slug || '.md) — what it is about' WHEN was.line_no % 7 = 3 THEN was.line || ' (seen)' ELSE was.line END AS line, outcome FROM was LEFT JOIN fix USING (line_no)""",
+    MEM,
+    _RAG,
+)
+def tidy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ragged index lines repaired by a rule, while every seventh line and every fifth memory change."""
+    mem = adapters.memories(spark, sf_dir)
+    way = lambda n: F.col("line_no") % n
+    title = F.when(F.col("doc_id") % 6 == 0, "T").otherwise(F.col("slug"))
+    desc = F.when(F.col("doc_id") % 3 == 0, "tiny").otherwise("a trigger that one can recognise")
+    was = mem.select(F.col("doc_id").alias("line_no"), F.concat(F.lit("- ["), title, F.lit("]("), "slug", F.lit(".md) — "), desc).alias("line"))
+    answer = F.when(way(11) == 4, "no shape").when(way(4) == 1, "TITLE: Better\nDESC: 987654321 things").otherwise("TITLE: Better\nDESC: what it is about")
+    fixes = tidy.repairs(tidy.asked(was, mem).withColumn("answer", answer))
+    now = was.withColumn("line", F.when(way(7) == 3, F.concat("line", F.lit(" (seen)"))).otherwise(F.col("line")))
+    later = mem.select("slug", F.when(F.col("doc_id") % 5 == 2, F.concat(F.lit("new "), "body")).otherwise(F.col("body")).alias("body"))
+    index, outcomes = tidy.merged(now, fixes, later)
+    slugs = mem.select("slug", F.col("doc_id").alias("line_no"))
+    return index.join(outcomes.join(slugs, "slug").drop("slug"), "line_no", "left")
+
+
+# Logs
+
+
+@query("SELECT user_id AS slug, count(*) AS reads, max(ts) AS last FROM events GROUP BY user_id")
+def read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads from a log that three writers append to, one of them twice, compacted in between."""
+    log = logs.LogTable(spark, shared_dir(spark), "reads", "at timestamp_ntz, why string, n array<bigint>")
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("at"), F.col("event_type").alias("why"), F.array("user_id").alias("n"))
+    for k in (0, 1, 0):
+        log.append(e.where(f"event_id % 3 = {k}"), f"writer-{k}")
+    if log.compact() != 2:
+        raise RuntimeError("an append that came again was taken")
+    log.append(e.where("event_id % 3 = 2"))
+    return log.read().select("at", F.explode("n").alias("slug")).groupBy("slug").agg(F.count("*").alias("reads"), F.max("at").alias("last"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 4 = 0 AND EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = s.conv_id AND c.turn = s.turn + 1) THEN 'told' END AS how, substr(left('#' || conv_id || ':' || turn || ' ' || coalesce(text, ''), 300), length('#' || conv_id || ':' || turn || ' ') + 1) AS text
+FROM conversations s WHERE turn % 2 = 0"""
+)
+def seeds_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second turn sows an idea; the turn behind every fourth confirms it."""
+    turns = table(spark, sf_dir, "conversations")
+    at = F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn"))
+    key = F.concat(F.lit("#"), F.col("conv_id"), F.lit(":"))
+    named = lambda turn, text: F.concat(key, turn.cast("string"), F.lit(" "), F.coalesce(text, F.lit("")))
+    sow = turns.where("turn % 2 = 0").select(*logs.sown(named(F.col("turn"), F.col("text")), F.col("role"), F.lit(""), at))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("was"))
+    tell = turns.where("turn % 4 = 1").join(before, ["conv_id", "turn"]).select(*logs.confirmation(named(F.col("turn") - 1, F.col("was")), F.lit("told"), F.lit(None).cast("string"), at))
+    log = logs.LogTable(spark, shared_dir(spark), "seeds", logs.SEEDS)
+    log.append(sow, "sown")
+    log.append(tell, "confirmed")
+    found = logs.seeds(log.read())
+    place = F.unix_seconds("at")
+    shown = F.regexp_replace("text", r"^#\d+:\d+ ", "")
+    return found.select((F.expr("unix_seconds(at) div 1000")).alias("conv_id"), (place % 1000).alias("turn"), "how", shown.alias("text"))

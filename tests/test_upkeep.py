@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions.seal import hmac_sha256
-from attesta.operators import budget, drafts, novelty, receipts
+from attesta.operators import budget, drafts, novelty, receipts, tidy
+from attesta.sources import logs
 from attesta.sources.derived import Derived, digest
 from attesta.sources.writer import Refused, StoreTable
 from attesta.streaming import tracks
@@ -390,3 +391,77 @@ def test_digests_are_of_rows_as_a_set_with_counts(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "x int, y string")
     assert digest(rows) == digest(rows.orderBy(F.desc("x")).repartition(3)) == digest(rows.select("y", "x"))
     assert len({digest(r) for r in (rows, rows.distinct(), rows.union(rows), rows.withColumnRenamed("y", "z"), rows.where("false"), rows.fillna("null"))}) == 6
+
+
+# Logs and seeds
+
+
+def test_logs_take_each_append_once(spark, tmp_path):
+    log = logs.LogTable(spark, str(tmp_path), "reads", "at timestamp, why string")
+    rows = lambda *w: spark.createDataFrame([(T0, x) for x in w], "at timestamp, why string")
+    assert log.read().count() == 0 and log.compact() == 0
+    assert log.append(rows("a", "b"), "one") and not log.append(rows("never"), "one") and log.append(rows("c"))
+
+    class Lost(Exception):
+        pass
+
+    def lose(step):
+        if step in ("data", "compacted"):
+            raise Lost
+
+    log.files._step = lose
+    for write in (lambda: log.append(rows("lost"), "two"), log.compact):
+        with pytest.raises(Lost):
+            write()
+    log.files._step = lambda step: None
+    assert sorted(r.why for r in log.read().collect()) == ["a", "b", "c"]
+    assert log.append(rows("d"), "two")
+    before = log.read()
+    assert log.compact() == 3 and sorted(r.why for r in before.collect()) == sorted(r.why for r in log.read().collect()) == ["a", "b", "c", "d"]
+    assert not log.append(rows("never"), "two") and log.append(rows("e")) and log.compact() == 1 and log.compact() == 0
+    assert sorted(r.why for r in log.read().collect()) == ["a", "b", "c", "d", "e"]
+    (tmp_path / "logs/reads/compactions/000000000009.json").write_text("{")
+    assert log.read().count() == 5
+
+
+def test_broken_lines_are_passed_over(spark):
+    lines = spark.createDataFrame([('{"at": 1, "why": "x"}',), ("{broken",), ("7",), ("",), (None,), ('{"why": null}',)], "line string")
+    good, bad = logs.parsed(lines, "at bigint, why string")
+    assert sorted(good.collect(), key=str) == sorted([(1, "x"), (None, None)], key=str) and bad.first().bad == 4
+
+
+def test_confirmations_meet_the_first_open_seed(spark):
+    rnd = random.Random(4)
+    events = [(rnd.choice(["IDEA", "IDEA", "CONFIRM"]), rnd.choice(["a", "b", "n" * 60 + "one", "n" * 60 + "two", None]), i) for i in range(300)]
+    rows = [(k, t, f"w{i}", "", T0 + datetime.timedelta(seconds=i), f"h{i}" if k == "CONFIRM" else None, None, "e", i) for k, t, i in events]
+    rnd.shuffle(rows)
+    seeds = []
+    for k, t, i in events:
+        if k == "IDEA":
+            seeds.append([t, f"w{i}", None])
+        else:
+            one = next((s for s in seeds if s[2] is None and (s[0] or "")[:60] == (t or "")[:60]), None)
+            if one:
+                one[2] = f"h{i}"
+    log = spark.createDataFrame(rows, logs.SEEDS + ", entry string, row bigint")
+    assert sorted(((r.text, r.who, r.how) for r in logs.seeds(log).collect()), key=str) == sorted(map(tuple, seeds), key=str)
+    still = [s[1] for s in seeds if s[2] is None]
+    assert sorted(r.who for r in logs.open_seeds(log, 5).collect()) == sorted(still[-5:])
+
+
+# Tidy
+
+
+def test_repairs_are_merged_line_by_line(spark):
+    mem = spark.createDataFrame([("a", "A", "about mills"), ("b", "B", "of 12 boats"), ("c", "C", "x"), ("d", "D", "")], "slug string, title string, body string")
+    lines = spark.createDataFrame([(1, "# head"), (2, "- [a](a.md) — tiny"), (3, "- [b](b.md) — tiny"), (4, "- [c](c.md) — tiny"), (5, "- [d](d.md) — tiny"), (6, "- [a](a.md) — one can recognise this"), (7, None)], "line_no int, line string")
+    found = tidy.asked(lines, mem)
+    assert sorted(r.slug for r in found.collect()) == ["a", "b", "c"] and [r.slug for r in tidy.asked(lines, mem, 1).collect()] == ["a"]
+    says = {"a": "TITLE: Mills\nDESC: all about mills", "b": "TITLE: Boats\nDESC: all 13 boats", "c": "TITLE: X\nDESC: something"}
+    fixes = tidy.repairs(found.join(spark.createDataFrame(list(says.items()), "slug string, answer string"), "slug"))
+    now = spark.createDataFrame([(1, "# head"), (2, "- [new](new.md) — came in"), (3, "- [a](a.md) — tiny"), (4, "- [a](a.md) — tiny"), (5, "- [b](b.md) — tiny"), (6, "- [c](c.md) — tiny")], "line_no int, line string")
+    index, outcomes = tidy.merged(now, fixes, mem.where("slug != 'c'"))
+    assert [r.line for r in index.orderBy("line_no").collect()] == ["# head", "- [new](new.md) — came in", "- [Mills](a.md) — all about mills", "- [a](a.md) — tiny", "- [b](b.md) — tiny", "- [c](c.md) — tiny"]
+    assert dict(outcomes.collect()) == {"a": "fixed", "b": "refused", "c": "memory changed"}
+    gone = tidy.merged(now.where("line_no < 3"), fixes, mem)[1]
+    assert dict(gone.collect()) == {"a": "line moved", "b": "refused", "c": "line moved"}
