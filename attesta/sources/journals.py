@@ -5,8 +5,8 @@ the places where a batch may end; lines are read by the executors, in ranges of
 
 A stream's offset holds a cursor for each file: the byte up to which it has been read, digests of the file's first bytes and of those before the cursor, and a generation. Spark writes it to the query's
 checkpoint before a batch runs. A file that is shorter than its cursor, or whose digests differ, was rewritten: its generation grows and it is read from the
-start. A batch ends after the last whole line within its 'chars' bytes (or after one line, if that is longer). A last line without its line feed stays until it is finished; a line longer than
-LINE_BYTES is passed over and counted as an empty one with 'oversized'. The driver looks at most SCAN bytes ahead for the end of such a line in each batch, and goes on from there in the next.
+start. A batch ends with the line that reaches its 'chars' bytes. A last line without its line feed stays until it is finished; a line longer than
+LINE_BYTES is passed over and counted as an empty one with 'oversized'. The driver looks at most SCAN bytes ahead for the end of a batch's last line; if that is longer, the batch ends before it, and a batch that would begin with it is looked for on from there the next time.
 
 Files ending in .zst or .zstd are archives of appended zstd frames, each of whole lines: their cursor is a byte of the compressed file at the end of a frame, and frames are decompressed as a stream. A line's
 pos is its frame's byte times 2**24 plus its number in the frame.
@@ -300,12 +300,12 @@ class _Stream(DataSourceStreamReader):
                 while (most is None or stop - at < most) and stop < size and (after := frame_end(f, stop, size)) is not None:
                     stop = after
                 return stop
-            wanted = size if most is None else min(size, at + most)
-            stop = _last_line(f, at, wanted)
-            if stop > at or wanted == size:
-                return stop
-            known = self.ahead.get(path, (at, wanted))
-            here = known[1] if known[0] == at else wanted
+            if most is None or size - at <= most:
+                return _last_line(f, at, size)
+            # The batch ends with the line that reaches its bytes.
+            wanted = at + most
+            known = self.ahead.get(path, (at, wanted - 1))
+            here = known[1] if known[0] == at else wanted - 1
             limit = min(size, here + SCAN)
             f.seek(here)
             while here < limit:
@@ -316,7 +316,7 @@ class _Stream(DataSourceStreamReader):
                     return here + found + 1
                 here += len(piece)
             self.ahead[path] = (at, here)
-            return at
+            return _last_line(f, at, wanted)
 
     def partitions(self, start, end):
         self.start = end
