@@ -9,11 +9,13 @@ rank (so every class has as many). Any other word is predicted in two steps: an
 its spelling, P(first byte | entry) * product of P(byte | byte before) with an end, from counts over all rare words of all
 texts. So every string has a probability of its own, and those of one place sum to one.
 
-Training (numpy, AdaGrad): texts are dealt by a hash of text and id into tasks of about TASK bytes and sorted by it, so what a task learns, and every score,
-depends on the rows alone, not on how they were stored. In each of ROUNDS rounds a task goes once over every window of all its texts, from
-the round's parameters; the tasks' parameters are averaged by the number of windows, as whole multiples of 1 / FIXED, so that
-the order of sums changes nothing, part by part on the executors. A lost task gives the same again. What is gathered grows
-with the tasks, and so with the input; the driver holds the counts of the vocabulary and one set of parameters.
+Training (numpy, AdaGrad): texts are dealt by a hash of text and id into SLICES, and each slice into tasks of about TASK / SLICES bytes, sorted by it, so what a
+task learns, and every score, depends on the rows alone, not on how they were stored. A round goes once over every window of the texts of its
+slice; each task starts at the round's parameters and AdaGrad divisors. After the round both move by the tasks' mean change, weighted by windows; parameters
+by up to LEAP times the mean, since each task saw a part only and all changed them in much the same direction. The next
+slice is learned from there, so a corpus of many tasks teaches more than any of them has seen. Changes are summed as whole multiples of
+1 / FIXED, so that the order of sums changes nothing, part by part on the executors. A lost task gives the same again. What is gathered grows with the
+tasks, and so with the input; the driver holds the counts of the vocabulary and one set of parameters.
 
 Nulls: a null text counts as empty, has score 0 and no words. Repeated rows count each time. An empty table gives no
 rows. Extra columns are not read. Texts are taken whole.
@@ -32,9 +34,11 @@ from attesta.llm.textvec import Words, pieces
 
 CLASSES = 32
 VOCABULARY, RARE, SPAN, SIZE = CLASSES * CLASSES, 64, 2, 16
-ROUNDS, BATCH, RATE = 1, 2048, 0.1
-#: Bytes of text of a training task, about; and parts of one that parameters are rounded to.
+SLICES, BATCH, RATE, LEAP = 4, 512, 0.1, 1.5
+#: Bytes of text that one task sees in all slices, about; and parts of one that changes are rounded to.
 TASK, FIXED = 24 << 20, 1 << 16
+#: Windows of a unit of weight: sums over 2**44 windows stay in 64 bits.
+WEIGHT = 1 << 10
 EDGE = VOCABULARY  # the id beyond a text's ends
 _OFFSETS = [*range(-SPAN, 0), *range(1, SPAN + 1)]
 _END = 32
@@ -80,6 +84,7 @@ class WindowNet:
     ids: np.ndarray  # their ids
     theta: np.ndarray  # all parameters, flat
     spelling: Spelling | None = None
+    root: np.ndarray | None = None  # AdaGrad's divisors, while it is trained
 
     SHAPES = {"vectors": (2 * SPAN, VOCABULARY + 1, SIZE), "bias": (SIZE,), "classes": (SIZE, CLASSES), "class_bias": (CLASSES,), "within": (CLASSES, SIZE, CLASSES), "within_bias": (CLASSES, CLASSES)}
 
@@ -93,7 +98,7 @@ class WindowNet:
         top = np.array(ranked[: VOCABULARY - RARE], np.int64).view(np.uint64)
         order = np.argsort(top)
         theta = (np.random.default_rng(5).standard_normal(cls.size()) * 0.1).astype(np.float32)
-        net = cls(top[order], order + RARE, theta)
+        net = cls(top[order], order + RARE, theta, root=np.full(cls.size(), 1e-3, np.float32))
         for name in ("bias", "class_bias", "within_bias"):
             net.parts()[name][...] = 0
         return net
@@ -232,44 +237,52 @@ def summed(parts: DataFrame) -> DataFrame:
     return some.select("part", F.lit(0).alias("task"), "sums").repartition("part").mapInArrow(add, schema).select("part", "sums")
 
 
-def trained(docs: DataFrame, rounds: int = ROUNDS, text: str = "text", id_: str = "doc_id") -> WindowNet:
+def trained(docs: DataFrame, slices: int = SLICES, text: str = "text", id_: str = "doc_id", task: int = TASK) -> WindowNet:
     from pyspark import TaskContext
 
     spark = docs.sparkSession
     counts = word_counts(docs, text).orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(VOCABULARY - RARE + 1).collect()
     net = WindowNet.new([r.word for r in counts[1:]])
-    tasks = 1 + (counts[0].n if counts else 0) // TASK
-    # Copies of a text go to many tasks, by their ids.
+    tasks, size = 1 + (counts[0].n if counts else 0) // task, WindowNet.size()
+    # Copies of a text go to many slices and tasks, by their ids.
     own = [F.col(id_)] if id_ in docs.columns else []
-    dealt = docs.select(F.coalesce(text, F.lit("")).alias("t"), *[c.alias("i") for c in own]).select("t", F.xxhash64("t", *["i" for _ in own]).alias("h")).repartition(tasks, "h").sortWithinPartitions("h").select("t")
-    for turn in range(rounds):
+    hashed = docs.select(F.coalesce(text, F.lit("")).alias("t"), *[c.alias("i") for c in own]).select("t", F.xxhash64("t", *["i" for _ in own]).alias("h"))
+    spelled = np.zeros(1 << 16, np.int64)
+    for turn in range(slices):
         given = spark.sparkContext.broadcast(net)
 
-        def learn(batches, given=given, turn=turn):
+        def learn(batches, given=given):
             net = given.value
-            theta, square, seen = net.theta.copy(), np.full(len(net.theta), 1e-6, np.float32), 0
+            theta, square, seen = net.theta.copy(), net.root * net.root, 0
             spelled = np.zeros(1 << 16, np.int64)
             for b in batches:
                 for _, texts in pieces(b.column(0)):
                     ids, where, w = net.padded(texts)
-                    if turn == 0:
-                        spelled += Spelling.count(w, np.flatnonzero(ids[where] < RARE))
+                    spelled += Spelling.count(w, np.flatnonzero(ids[where] < RARE))
                     where = np.random.default_rng(len(where)).permutation(where)
                     for first in range(0, len(where), BATCH):
                         net.step(theta, square, ids, where[first : first + BATCH])
                     seen += len(where)
             if seen:
-                whole = np.concatenate(([seen], np.rint(theta * np.float64(FIXED)).astype(np.int64) * seen, spelled))
+                weight = 1 + seen // WEIGHT
+                change = np.concatenate((theta - net.theta, np.sqrt(square) - net.root)).astype(np.float64)
+                whole = np.concatenate(([weight, 1], np.rint(change * FIXED).astype(np.int64) * weight, spelled))
                 sums = [whole[i : i + _PART].astype("<i8").tobytes() for i in range(0, len(whole), _PART)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(sums), pa.int32()), pa.array(sums, pa.binary())], ["part", "task", "sums"])
 
+        # The slice is chosen by other bits than the task.
+        part = hashed.where(F.pmod(F.xxhash64("h"), F.lit(slices)) == turn) if slices > 1 else hashed
+        dealt = part.repartition(tasks, "h").sortWithinPartitions("h").select("t")
         rows = summed(dealt.mapInArrow(learn, "part int, task int, sums binary")).collect()  # one set of parameters
+        given.unpersist()
         if rows:
             whole = np.concatenate([np.frombuffer(r.sums, "<i8") for r in sorted(rows, key=lambda r: r.part)])
-            size = WindowNet.size()
-            spelling = Spelling(whole[1 + size :]) if turn == 0 else net.spelling
-            net = WindowNet(net.words, net.ids, (whole[1 : 1 + size] / whole[0] / FIXED).astype(np.float32), spelling)
-    return net
+            weight, n = whole[:2].tolist()
+            mean = whole[2 : 2 + 2 * size] / weight / FIXED
+            leap = LEAP - (LEAP - 1) / n  # one task's change is taken as it is
+            net = WindowNet(net.words, net.ids, (net.theta + leap * mean[:size]).astype(np.float32), root=(net.root + mean[size:]).astype(np.float32))
+            spelled += whole[2 + 2 * size :]
+    return WindowNet(net.words, net.ids, net.theta, Spelling(spelled))
 
 
 def scored(docs: DataFrame, net: WindowNet, id_: str = "doc_id", text: str = "text") -> DataFrame:

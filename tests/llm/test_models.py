@@ -192,6 +192,44 @@ def test_masked_lm_trains_on_every_window(spark):
     assert got.n_words == 16 and got.per_word > -2.0  # an even guess among the eight is -2.08
 
 
+def test_many_tasks_learn_more_than_one_of_them(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    train, held = docs.where("doc_id % 5 != 0").cache(), [r.text.encode() for r in docs.where("doc_id % 5 = 0").collect()]
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0]
+
+    def quality(net):
+        ids, where, words = net.padded(held)
+        return net.log_probability(ids, where, words).mean()  # with spelling: vocabularies differ
+
+    eight, whole = (masked_lm.trained(train, task=t) for t in (size // 8, size + 1))
+    part = masked_lm.trained(train.where("pmod(xxhash64(doc_id), 8) = 0"), task=size)
+    part, whole, eight = quality(part), quality(whole), quality(eight)
+    assert whole > eight > part + (whole - part) / 3, (whole, eight, part)
+    # The mean of all, taken once, is hardly better than a part.
+    once = quality(masked_lm.trained(train, slices=1, task=size // 8))
+    assert eight > once + (whole - part) / 4, (eight, once)
+
+
+def test_toxicity_collects_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "kind words")] * 500 + [(2, "bad words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 1)], "doc_id long, grade int")
+    ids, rows, y = toxicity.labelled(docs, labels)
+    assert ids == [1, 2] and y.tolist() == [0, 1] and len(rows) == 2
+
+
+def test_toxicity_scores_match_a_plain_sum_of_weights(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    model = toxicity.fitted(docs, queries.severity_grades(queries.table(spark, sf, "labels")), hold_out=False)
+    got = {r.doc_id: r for r in queries.op8_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        (f,) = toxicity.features([(r.text or "").encode()])
+        score = sum(float(model.weights[i]) for i in f.tolist() if model.use is None or model.use[i])
+        p = [1 / (1 + np.exp(c - score)) for c in model.cuts]
+        assert got[r.doc_id].p_above == pytest.approx(p[0] if p else 0.0, abs=1e-6)
+        assert got[r.doc_id].severity == pytest.approx(model.lowest + sum(p), abs=1e-6)
+        assert got[r.doc_id].toxic == (got[r.doc_id].p_above >= queries.TOXIC)
+
+
 def test_a_rare_language_is_known_at_any_size(spark):
     en = spark.range(30000).selectExpr("id AS doc_id", "'the dog and the cat' AS text", "'en' AS lang")
     fr = spark.range(30000, 30012).selectExpr("id AS doc_id", "'le chien et la souris' AS text", "'fr' AS lang")
