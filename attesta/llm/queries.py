@@ -74,7 +74,7 @@ def severity_grades(labels: DataFrame) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fitted(docs, severity_grades(table(spark, sf_dir, "labels")))
+    model = toxicity.fitted(docs, severity_grades(table(spark, sf_dir, "labels")), hold_out=False)
     return toxicity.scored(docs, model).withColumn("toxic", F.col("p_above") >= TOXIC)
 
 
@@ -149,6 +149,21 @@ def _codes_sql(rounds: int = 2) -> str:
 
 ORACLES = {
     "op12_vector_codes": _codes_sql(),
+    "op1_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) END) AS gram FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach AS r JOIN edge AS e ON e.a = r.b),
+        low AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, doc_id) AS component_id
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low ON a = doc_id
+    """,
     "op4_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS raw,

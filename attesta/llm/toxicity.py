@@ -124,7 +124,8 @@ def labelled(docs: DataFrame, grades: DataFrame, most: int = MOST_TRAINED, id_:
             for at, texts in pieces(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)), pa.array([f.astype("<i4").tobytes() for f in features(texts)], pa.binary())], ["i", "g", "f"])
 
-    got = sorted(((r.i, r.g, r.f) for r in rows.mapInArrow(of, "i long, g long, f binary").collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
+    each = rows.mapInArrow(of, "i long, g long, f binary").groupBy("i", "g").agg(F.min("f").alias("f"))  # an id of many rows is one
+    got = sorted(((r.i, r.g, r.f) for r in each.collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
     return [r[0] for r in got], [np.frombuffer(r[2], "<i4").astype(np.int64) for r in got], np.array([r[1] for r in got], np.int64)
 
 

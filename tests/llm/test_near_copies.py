@@ -1,8 +1,10 @@
 import random
 import re
 
+import duckdb
 import pytest
 
+from attesta.llm import queries
 from attesta.llm.exact_dedup import exact_duplicates
 from attesta.llm.graph import components
 from attesta.llm.ngram_join import NgramJoin, ngram_components
@@ -47,6 +49,14 @@ def test_components_match_brute_force_on_documents(spark, sf):
     assert got == want and len({c for _, c in want.values()}) < len(want)
 
 
+def test_query_matches_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, n_shingles, component_id FROM ({queries.ORACLES['op1_ngram_join']})").fetchall())
+    got = queries.op1_ngram_join(spark, sf).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_chains_and_borderline_pairs(spark):
     rng = random.Random(3)
     rows, base = [], [f"w{rng.randrange(400)}" for _ in range(120)]
