@@ -24,6 +24,7 @@ rows. Extra columns are not read. Texts are taken whole.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,7 @@ class WindowNet:
 
     @staticmethod
     def size() -> int:
-        return sum(int(np.prod(s)) for s in WindowNet.SHAPES.values())
+        return sum(map(prod, WindowNet.SHAPES.values()))
 
     @classmethod
     def new(cls, ranked: list[int]) -> WindowNet:
@@ -107,7 +108,7 @@ class WindowNet:
         """Views of the parameters."""
         theta, out, at = self.theta if theta is None else theta, {}, 0
         for name, shape in self.SHAPES.items():
-            n = int(np.prod(shape))
+            n = prod(shape)
             out[name] = theta[at : at + n].reshape(shape)
             at += n
         return out
@@ -165,44 +166,50 @@ class WindowNet:
     def step(self, theta: np.ndarray, square: np.ndarray, ids: np.ndarray, where: np.ndarray) -> None:
         """One AdaGrad step on the windows at where."""
         p, q, n = self.parts(theta), self.parts(square), len(where)
-        c, j = ids[where] >> 5, ids[where] & 31
-        order, runs = self._by_class(c)
-        where, c, j, row = where[order], c[order], j[order], np.arange(n)
-        h = self.hidden(p, ids, where)
-        a = h @ p["classes"]
+        order, runs = self._by_class(ids[where] >> 5)
+        where = where[order]
+        c, j, row = ids[where] >> 5, ids[where] & 31, np.arange(n)
+        near = np.concatenate([ids[where + o] + np.int16(k * (VOCABULARY + 1)) for k, o in enumerate(_OFFSETS)])  # rows of all tables
+        vectors, seen = p["vectors"].reshape(-1, SIZE), q["vectors"].reshape(-1, SIZE)
+        h = vectors.take(near, axis=0).reshape(len(_OFFSETS), n, SIZE).sum(axis=0)
+        h += p["bias"]
+        np.tanh(h, out=h)
+        both = np.empty((2, n, CLASSES), theta.dtype)  # the softmax over classes, and that within the word's class
+        a, b = both
+        np.matmul(h, p["classes"], out=a)
+        for k, s, e in runs:
+            np.matmul(h[s:e], p["within"][k], out=b[s:e])
         a += p["class_bias"]
-        np.exp(np.clip(a, -60, 60, out=a), out=a)
-        a /= a.sum(axis=1, keepdims=True)
+        b += p["within_bias"].take(c, axis=0)
+        np.exp(np.minimum(both, 60, out=both), out=both)
+        both /= (both @ np.ones(CLASSES, theta.dtype))[:, :, None]
         a[row, c] -= 1
-        b = p["within_bias"].take(c, axis=0)
-        for k, s, e in runs:
-            b[s:e] += h[s:e] @ p["within"][k]
-        np.exp(np.clip(b, -60, 60, out=b), out=b)
-        b /= b.sum(axis=1, keepdims=True)
         b[row, j] -= 1
         dh = a @ p["classes"].T
         grads = {"classes": h.T @ a, "class_bias": a.sum(axis=0), "within": np.zeros_like(p["within"]), "within_bias": np.zeros_like(p["within_bias"])}
+        grads["within_bias"][[k for k, _, _ in runs]] = np.add.reduceat(b, [s for _, s, _ in runs], axis=0)
         for k, s, e in runs:
-            grads["within"][k] = h[s:e].T @ b[s:e]
-            grads["within_bias"][k] = b[s:e].sum(axis=0)
+            np.matmul(h[s:e].T, b[s:e], out=grads["within"][k])
             dh[s:e] += b[s:e] @ p["within"][k].T
         h *= h
         dh -= dh * h
         grads["bias"] = dh.sum(axis=0)
         for name, g in grads.items():
             g /= n
-            q[name][...] += g * g
-            p[name][...] -= RATE * g / np.sqrt(q[name])
+            root = g * g
+            q[name][...] += root
+            np.sqrt(q[name], out=root)
+            g /= root
+            g *= RATE
+            p[name][...] -= g
         dh /= n
-        for k, o in enumerate(_OFFSETS):
-            near = ids[where + o]
-            order = np.argsort(near, kind="stable")
-            near = near[order]
-            first = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
-            g, at = np.add.reduceat(dh.take(order, axis=0), first, axis=0), near[first]
-            s = q["vectors"][k].take(at, axis=0) + g * g
-            q["vectors"][k][at] = s
-            p["vectors"][k][at] -= RATE * g / np.sqrt(s)
+        order = np.argsort(near, kind="stable")
+        near = near[order]
+        first = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
+        g, at = np.add.reduceat(dh.take(order % n, axis=0), first, axis=0), near[first]
+        s = seen.take(at, axis=0) + g * g
+        seen[at] = s
+        vectors[at] -= RATE * g / np.sqrt(s)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
