@@ -147,6 +147,7 @@ class WindowNet:
     def log_probability(self, ids: np.ndarray, where: np.ndarray, w: Words | None = None) -> np.ndarray:
         """Of each word at where; of rare ones with their spelling where the words are given."""
         p, out = self.parts(), np.empty(len(where))
+        ones = np.ones(CLASSES, self.theta.dtype)
         for first in range(0, len(where), 1 << 13):
             x = where[first : first + (1 << 13)]
             c, j = ids[x] >> 5, ids[x] & 31  # CLASSES is 32
@@ -157,7 +158,9 @@ class WindowNet:
             b = p["within_bias"].take(c, axis=0)
             for k, s, e in runs:
                 b[s:e] += h[s:e] @ p["within"][k]
-            out[first + order] = a[row, c] + b[row, j] - np.log(np.exp(a).sum(axis=1) * np.exp(b).sum(axis=1))
+            own = a[row, c] + b[row, j]
+            total = (np.exp(a, out=a) @ ones) * (np.exp(b, out=b) @ ones)
+            out[first + order] = own - np.log(total)
         if self.spelling is not None and w is not None:
             rare = np.flatnonzero(ids[where] < RARE)
             out[rare] += self.spelling.log_probability(w, rare)
@@ -182,9 +185,9 @@ class WindowNet:
         a += p["class_bias"]
         b += p["within_bias"].take(c, axis=0)
         np.exp(np.minimum(both, 60, out=both), out=both)
-        both /= (both @ np.ones(CLASSES, theta.dtype))[:, :, None]
-        a[row, c] -= 1
-        b[row, j] -= 1
+        both /= (both @ np.full(CLASSES, n, theta.dtype))[:, :, None]  # of the mean loss
+        a[row, c] -= 1 / n
+        b[row, j] -= 1 / n
         dh = a @ p["classes"].T
         grads = {"classes": h.T @ a, "class_bias": a.sum(axis=0), "within": np.zeros_like(p["within"]), "within_bias": np.zeros_like(p["within_bias"])}
         grads["within_bias"][[k for k, _, _ in runs]] = np.add.reduceat(b, [s for _, s, _ in runs], axis=0)
@@ -195,21 +198,21 @@ class WindowNet:
         dh -= dh * h
         grads["bias"] = dh.sum(axis=0)
         for name, g in grads.items():
-            g /= n
             root = g * g
             q[name][...] += root
             np.sqrt(q[name], out=root)
             g /= root
             g *= RATE
             p[name][...] -= g
-        dh /= n
         order = np.argsort(near, kind="stable")
         near = near[order]
         first = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
         g, at = np.add.reduceat(dh.take(order % n, axis=0), first, axis=0), near[first]
         s = seen.take(at, axis=0) + g * g
         seen[at] = s
-        vectors[at] -= RATE * g / np.sqrt(s)
+        g /= np.sqrt(s, out=s)
+        g *= RATE
+        vectors[at] -= g
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
