@@ -3,10 +3,10 @@
 P(grade >= k) = logistic(w . x - cut_k) with cut_1 < cut_2 < ...: one weight vector is shared by all thresholds.
 x holds the presence of hashed features of the whole text: words, and their first 4, 6 and 8 bytes, so that unseen words of a known
 stem count too. The model is fitted by gradient steps to at most MOST_TRAINED labelled rows (least hash of the id first; FOLD of
-FOLDS is held out); every text of the table is scored. expected severity = sum over k of P(grade >= k).
+FOLDS may be held out); every text of the table is scored. expected severity = sum over k of P(grade >= k).
 
 Nulls: a null text counts as empty and gets the scores of no features; rows with a null id or grade are not trained on; a null
-id is scored. Repeated rows are scored each time; a repeated label counts each time. Without any labels, or with
+id is scored. Repeated rows are scored each time; an id's equal labels count once, with one of its texts (least features). Without any labels, or with
 one grade only, severity is that grade (0 without labels). Extra columns are not read. Texts are taken whole.
 """
 
