@@ -145,13 +145,13 @@ def verified_tags(rows: DataFrame, recurred_ok: bool = False) -> DataFrame:
     return out.select("key", "tag", F.col("refused").isNull().alias("kept"), kind.alias("basis_class"), F.col("basis.text").alias("basis_quote"), "refused")
 
 
-def callsigns(rows: DataFrame, folding=fold) -> DataFrame:
+def callsigns(rows: DataFrame, folding=fold, spelling=squeeze) -> DataFrame:
     """key, n, text, quote, refused: proposed callsigns against the surviving USER quotes; the first CUES that pass are kept.
 
-    rows: key, callsigns (array), evidence array<struct<class, text>>.
+    rows: key, callsigns (array), evidence array<struct<class, text>>. spelling: the form that is gated and kept, from what was proposed.
     """
     each = rows.select("key", F.posexplode("callsigns").alias("n", "raw"), F.filter("evidence", lambda e: e["class"] == "USER").alias("user"))
-    each = each.withColumn("text", squeeze(F.col("raw"))).withColumn("k", folding("text"))
+    each = each.withColumn("text", spelling(F.col("raw"))).withColumn("k", folding("text"))
     hit = F.get(F.filter("user", lambda e: e["text"].contains(F.col("text"))), F.lit(0))
     why = (
         F.when(~F.col("k").rlike(r"(?U)[\p{L}\p{N}]"), "whitespace and punctuation alone do not route anywhere")
