@@ -38,8 +38,10 @@ WIDTH, PART = 1 << 18, 1 << 14
 #: Blocks of columns.
 BLOCKS = 4
 PARITIES = 1024
-#: Longs of parities that travel with each cell.
-CARRIED = 8
+#: Longs of parities that travel with each cell, and bits by which those of unlike sets may stay below half.
+CARRIED, MARGIN = 8, 32
+#: Least columns of a set that tell whether a pair met in an earlier one.
+EARLIER = 4
 _U = np.uint64
 
 
@@ -163,14 +165,18 @@ class NgramJoin:
         self.repeats = not self.docs.groupBy("id").count().where("count > 1").isEmpty()
         # Folded, the carried parities still tell of every column.
         fold = lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [F.col("parity")[j] for j in range(i, PARITIES // 64, CARRIED)])
-        carried = [fold(i).alias(f"p{i}") for i in range(CARRIED)]
-        cells = shared(self.nodes.select(F.explode("head").alias("gram"), "id"))
-        #: The cells of the columns that more than one node has, with the nodes' sizes and first parities.
-        self.cells = cells.join(self.nodes.select("id", "n", *carried), "id")
+        #: The cells of the columns that more than one node has.
+        self.columns = shared(self.nodes.select(F.explode("head").alias("gram"), "id"))
+        # Similar sets of so many columns may differ in half of what is carried, as unlike ones do; theirs would only be weight.
+        half = 64 * CARRIED // 2 + MARGIN
+        blind = -(-half * (100 + percent) // (2 * (100 - percent)))
+        #: What travels with a node's cells: its size and first parities.
+        self.carried = self.nodes.select("id", "n", *[F.when(F.col("n") < blind, c).otherwise(F.lit(0)).alias(f"p{i}") for i, c in enumerate(map(fold, range(CARRIED)))])
+        self.cells = self.columns.join(self.carried, "id")
         need = _need(percent).replace("nx", "{a}n").replace("ny", "{b}n")
         differ = " + ".join(f"bit_count({{a}}p{i} ^ {{b}}p{i})" for i in range(CARRIED))
         #: What similar sets meet: near sizes, and no more different parities than columns may differ.
-        self.near = f"100 * least({{a}}n, {{b}}n) >= {percent} * greatest({{a}}n, {{b}}n) and {differ} <= {{a}}n + {{b}}n - 2 * {need}"
+        self.near = f"100 * least({{a}}n, {{b}}n) >= {percent} * greatest({{a}}n, {{b}}n) and (greatest({{a}}n, {{b}}n) >= {blind} or {differ} <= {{a}}n + {{b}}n - 2 * {need})"
 
     def product(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of pairs (x, y) of nodes, with their overlap."""
@@ -190,13 +196,21 @@ class NgramJoin:
 
         A group of g mutually similar sets has g * (g - 1) / 2 such pairs; components() does not need them.
         """
-        a, b = (self.cells.select("gram", F.struct(*[c for c in self.cells.columns if c != "gram"]).alias(s)) for s in "ab")
+        a, b = (self.cells.select("gram", F.struct(*self.carried.columns).alias(s)) for s in "ab")
         pairs = a.join(b, "gram").where("a.id < b.id").where(self.near.format(a="a.", b="b."))
         return self.product(pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")))
 
     def components(self) -> DataFrame:
         """id, component for each node that has a link."""
-        return grouped(self.cells, self.near, self.product, "gram")
+        return grouped(self.columns, self.carried, self.near, self.product, "gram", whole=self._once, exact=False)
+
+    def _once(self, cells: DataFrame) -> tuple[DataFrame, str]:
+        """The cells with their node's least columns, and near without pairs that are known to have an earlier column in common: they meet there."""
+        names = [f"e{i}" for i in range(EARLIER)]
+        least = cells.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("gram")), 1, EARLIER).alias("least"))  # of one node's head
+        least = least.select("id", *[F.get("least", F.lit(i)).alias(e) for i, e in enumerate(names)])
+        met = " or ".join(f"({{a}}{e} = {{b}}{f} and {{a}}{e} < gram)" for e in names for f in names)
+        return cells.join(least, "id"), f"{self.near} and not coalesce({met}, false)"
 
 
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _powers_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text that are hashed at once; bounds the working arrays (a longer text is taken alone).
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def _powers(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:

@@ -151,3 +151,20 @@ def test_a_large_group_just_below_the_bound_makes_few_candidates(spark):
     near = a.join(b, "gram").where("a.id < b.id").where(join.near.format(a="a.", b="b."))
     assert near.select("a.id", "b.id").distinct().count() < 400 * 399 / 2 / 20
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(docs).collect()} == brute(rows)[0]
+
+
+def test_pairs_meet_once_and_long_sets_carry_no_parities(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.012 else w for w in base) for _ in range(24)]
+    texts += [" ".join(f"y{i}" for i in range(2900 + j)) for j in range(2)]
+    join = NgramJoin(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    carried = {r.id: r for r in join.carried.collect()}
+    assert not any(carried[24][f"p{i}"] for i in range(8)) and any(carried[0][f"p{i}"] for i in range(8))
+
+    def met(cells, near):
+        a, b = (cells.selectExpr("gram", f"struct({','.join(c for c in cells.columns if c != 'gram')}) as {s}") for s in "ab")
+        return [tuple(r) for r in a.join(b, "gram").where(near.format(a="a.", b="b.")).where("a.id < b.id").selectExpr("a.id", "b.id").collect()]
+
+    every, once = met(join.cells, join.near), met(*join._once(join.cells))
+    assert set(once) == set(every) and len(every) > 4 * len(set(every)) and len(once) < 2 * len(set(every))
