@@ -213,3 +213,12 @@ def test_names_are_known_in_any_form(spark):
     assert rows(cues.direct(asked, led), "q", "slug") == [("1", "a")]
     e = spark.createDataFrame([(1, ["ﬁ"], [("USER", "the ﬁ one")])], "key long, callsigns array<string>, evidence array<struct<class:string,text:string>>")
     assert gate.callsigns(e).first().refused.startswith("a callsign")  # two letters
+
+
+def test_prefill_size_is_that_of_the_text(spark):
+    lines = [(1, "- [a](b.md) {{x}} — ひらカタ漢字"), (2, "{{{ }}} {"), (3, "}"), (4, None), (5, ""), (6, "、ｱé\n{{")]
+    for some in (lines, lines[:1], []):
+        df = spark.createDataFrame(some, "line_no long, line string")
+        assert maps.prefill_size(df, "docs", "Head\n").first() == maps.prefill(df, "docs", "Head\n").select("escapes", "tokens").first()
+    big = spark.createDataFrame(lines, "line_no long, line string")
+    assert "collect_list" not in maps.prefill_size(big, "docs", "Head")._jdf.queryExecution().optimizedPlan().toString()
