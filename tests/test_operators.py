@@ -1,4 +1,5 @@
 import datetime
+import re
 
 from attesta.functions.fixed import TOKEN_WEIGHTS
 from attesta.operators import context, cues, edges, gate, intake, maps, models, names, recognise
@@ -222,3 +223,14 @@ def test_prefill_size_is_that_of_the_text(spark):
         assert maps.prefill_size(df, "docs", "Head\n").first() == maps.prefill(df, "docs", "Head\n").select("escapes", "tokens").first()
     big = spark.createDataFrame(lines, "line_no long, line string")
     assert "collect_list" not in maps.prefill_size(big, "docs", "Head")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_fallback_deals_lines_once(spark):
+    lines = spark.createDataFrame([(1, "- [Oak](oak.md) — oaks, an oak"), (2, "- [Elm](elm.md) — soaked"), (3, "oak, without a link")], "line_no long, line string")
+    found = recognise.by_words(lines, spark.createDataFrame([("1", "Oak oak?"), ("2", "or")], "q string, question string"))
+    assert rows(found, "q", "rank", "slug", "hits") == [("1", 1, "oak", 8), ("1", 2, "elm", 2)]
+    assert not re.search(r"hashpartitioning\(q#\d+L?, line_no", plan_of(found))
