@@ -37,7 +37,8 @@ from attesta.llm.textvec import Words, pieces, shingles
 WIDTH, PART = 1 << 18, 1 << 14
 #: Blocks of columns.
 BLOCKS = 4
-PARITIES = 1024
+#: Parities of a set, at least, and how many times as many as columns in which similar sets of its size may differ: unlike sets differ in about half.
+PARITIES, ROOM = 1024, 4
 #: Longs of parities that travel with each cell, and bits by which those of unlike sets may stay below half.
 CARRIED, MARGIN = 8, 32
 #: Least columns of a set that tell whether a pair met in an earlier one.
@@ -86,7 +87,7 @@ def column_counts(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int, percent: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n (set size), key (identity of the set), head (its first columns), parity (as longs)."""
+    """One row per document: id, n (set size), key (identity of the set), head (its first columns), parity (as longs; a longer set has more)."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(column_counts(docs, k, text))
 
@@ -102,7 +103,10 @@ def profiles(docs: DataFrame, k: int, percent: int, id_: str = "doc_id", text: s
                         weight = np.minimum(counts.value[a], counts.value[c + WIDTH])
                         first = len(s) - -(-percent * len(s) // 100) + 1
                         heads[i] = s[np.lexsort((s, weight))[:first]].view(np.int64)
-                        parities[i] = np.packbits((np.bincount(s.view(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+                        width = PARITIES
+                        while width < ROOM * 2 * len(s) * (100 - percent) // (100 + percent):
+                            width *= 2
+                        parities[i] = np.packbits((np.bincount(s.view(np.int64) & (width - 1), minlength=width) & 1).astype(np.uint8)).view(np.int64)
                 n = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), n, pa.array(keys, pa.binary()), pa.array(heads, longs), pa.array(parities, longs)], ["id", "n", "key", "head", "parity"])
 
@@ -138,6 +142,15 @@ def _need(percent: int) -> str:
     return f"cast(ceil({percent} * (nx + ny) / {100 + percent}.0D - 1e-9) as long)"
 
 
+def differing(x: str, y: str) -> str:
+    """How many parities of x and y differ: no more than columns do. The longer ones are folded to as many as the shorter ones."""
+    longs = PARITIES // 64
+    least = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(longs))
+    fold = lambda p: f"aggregate(sequence(i, size({p}) - 1, s), 0L, (a, j) -> a ^ {p}[j])"
+    more = f"aggregate(transform(array(least(size({x}), size({y}))), s -> aggregate(sequence(0, s - 1), 0, (c, i) -> c + bit_count({fold(x)} ^ {fold(y)}))), 0, (c, d) -> c + d)"
+    return f"if(size({x}) = {longs} and size({y}) = {longs}, {least}, {more})"
+
+
 def product(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (x, y) that reach the similarity, with their overlap: block by block, and after each block only pairs that still can."""
     size = lambda s: rows.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("n").alias(f"left{s}"))
@@ -164,7 +177,8 @@ class NgramJoin:
         drop_table(whole)
         self.repeats = not self.docs.groupBy("id").count().where("count > 1").isEmpty()
         # Folded, the carried parities still tell of every column.
-        fold = lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [F.col("parity")[j] for j in range(i, PARITIES // 64, CARRIED)])
+        few = lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [F.col("parity")[j] for j in range(i, PARITIES // 64, CARRIED)])
+        fold = lambda i: F.when(F.size("parity") == PARITIES // 64, few(i)).otherwise(F.expr(f"aggregate(sequence({i}, size(parity) - 1, {CARRIED}), 0L, (a, j) -> a ^ parity[j])"))
         #: The cells of the columns that more than one node has.
         self.columns = shared(self.nodes.select(F.explode("head").alias("gram"), "id"))
         # Similar sets of so many columns may differ in half of what is carried, as unlike ones do; theirs would only be weight.
@@ -181,9 +195,8 @@ class NgramJoin:
     def product(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of pairs (x, y) of nodes, with their overlap."""
         side = lambda s: self.nodes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("parity").alias(f"p{s}"))
-        differ = " + ".join(f"bit_count(px[{i}] ^ py[{i}])" for i in range(PARITIES // 64))
         near = pairs.select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y")
-        near = cut(near.where(f"{differ} <= nx + ny - 2 * {_need(self.percent)}").select("x", "y"))
+        near = cut(near.where(f"{differing('px', 'py')} <= nx + ny - 2 * {_need(self.percent)}").select("x", "y"))
         wanted = near.select(F.col("x").alias("id")).union(near.select("y")).distinct().join(self.nodes.select("id", "key"), "id")
         texts = self.texts.join(small(cut(wanted)), "id")
         rows = cut(blocks(texts.dropDuplicates(["id", "text"]) if self.repeats else texts, self.k))

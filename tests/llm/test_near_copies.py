@@ -3,11 +3,12 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.llm import queries
 from attesta.llm.exact_dedup import exact_duplicates
 from attesta.llm.graph import components
-from attesta.llm.ngram_join import NgramJoin, ngram_components
+from attesta.llm.ngram_join import NgramJoin, differing, ngram_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -168,3 +169,19 @@ def test_pairs_meet_once_and_long_sets_carry_no_parities(spark):
 
     every, once = met(join.cells, join.near), met(*join._once(join.cells))
     assert set(once) == set(every) and len(every) > 4 * len(set(every)) and len(once) < 2 * len(set(every))
+
+
+def test_long_unlike_sets_are_told_apart_by_their_parities(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(9400)]
+    like = [word() if rng.random() < 0.005 else w for w in base]
+    unlike = base[:4500] + [word() for _ in range(4000)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((base, like, unlike))], "doc_id long, text string")
+    join = NgramJoin(docs, 5, 80)
+    x, y = (join.nodes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("parity").alias(f"p{s}")) for s in "xy")
+    most = "nx + ny - 2 * cast(ceil(80 * (nx + ny) / 180.0D - 1e-9) as long)"
+    pairs = x.join(y, F.col("x") < F.col("y")).select("x", "y", F.expr(differing("px", "py")).alias("d"), F.expr(most).alias("most"), (F.size("px") == F.size("py")).alias("same")).collect()
+    assert {(r.x, r.y): r.d <= r.most for r in pairs} == {(0, 1): True, (0, 2): False, (1, 2): False}
+    assert not all(r.same for r in pairs)  # folded
+    assert {r.doc_id: r.component_id for r in ngram_components(docs, 5, 80).collect()} == {0: 0, 1: 0, 2: 2}
