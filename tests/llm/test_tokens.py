@@ -113,3 +113,16 @@ def test_op5_matches_brute_force(spark, sf):
 def test_counted_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "a b", None)], "doc_id long, text string, n_tokens string")
     assert sorted((r.doc_id, r.n_tokens, r.version) for r in counted(df, public_tokenizer(), "v").collect()) == [(1, 0, "v"), (2, 2, "v")]
+
+
+def test_new_words_of_plain_letters_meet_no_pattern(monkeypatch):
+    from attesta.llm import tokens
+
+    calls = []
+    for name in ("_LETTERS", "_MARKED"):
+        monkeypatch.setattr(tokens, name, lambda p, is_=getattr(tokens, name): calls.append(p) or is_(p))
+    model = tokens.Encoder(tokens.public_tokenizer())
+    plain = "the " + " ".join(f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20))
+    others = ["w\u00f6rter \u03b1\u03b2\u03b3 \u4e2d\u6587 caf\u00e9, na\u00efve! \u01c0x", "a b\nc \nd, e\n\nf 12 3. x-y; " + "z" * 60 + ". " + "y" * 60, "lone. lone ; . \u2028 q", ""]
+    assert model.encode([plain, *others]) == [np.array(model.model.encode(t, add_special_tokens=False).ids, model.dtype).tobytes() for t in [plain, *others]]
+    assert not [p for p in calls if p in plain.split()]
