@@ -148,6 +148,8 @@ def fused(rows: DataFrame, model: TextModel, text: str, declared: Column, host:
         table = given.value.scores([t or b"" for t in texts.cast(pa.large_binary()).to_pylist()])
         return pa.ListArray.from_arrays(pa.array(range(0, table.size + 1, k), pa.int32()), pa.array(table.ravel()))
 
+    # Else the filter on its results would be pushed below it with a call of its own: texts scored twice, two workers a task.
+    scores = scores.asNondeterministic()
     columns = rows.columns if columns is None else columns
     ll, soft, d, h, s, hn, hp, sp, joint, s2, h2 = fresh(rows.select(*columns), "ll", "soft", "declared", "host", "suffix", "hn", "hp", "sp", "joint", "of_suffix", "of_host")
     known = F.when(declared.isin(names[:-1]), declared).when(declared.isNull() | (declared == ""), F.lit("none")).otherwise(F.lit("other"))

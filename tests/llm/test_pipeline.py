@@ -4,6 +4,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from attesta.llm import language
+from attesta.llm.common import table
 from attesta.llm.language import identified, kept
 from attesta.llm.mixing import mixed
 from attesta.llm.tokens import public_tokenizer
@@ -90,3 +92,16 @@ def test_stages_take_long_texts_repeats_ties_and_clashing_columns(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, df, sf).count() == 4
     found = identified(df)
     assert found.columns == [c for c in df.columns if c != "evidence"] + ["evidence"] and {r.soft for r in found.collect()} == {7}
+
+
+def test_python_nodes_share_their_workers(spark, sf):
+    table(spark, sf, "documents")
+    assert spark.conf.get("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled") == "false"
+
+
+def test_a_text_is_scored_once_for_the_sums_and_once_for_the_result(spark, sf, monkeypatch):
+    plans, cut = [], language.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(language, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    plans.append(plan(identified(table(spark, sf, "documents"))))
+    assert len(plans) == 2 and [p.count("ArrowEvalPython") for p in plans] == [1, 1], plans
