@@ -250,3 +250,5 @@ def test_pieces_agree_with_the_whole_distance(spark):
     plain = F.expr("levenshtein(a.norm, b.norm) <= cast(floor(0.1 * greatest(length(a.norm), length(b.norm)) + 1e-9) as int)")
     got = df.select(F.expr(within(0.9).format(a="a.", b="b.")).alias("g"), plain.alias("w")).collect()
     assert [r.g for r in got] == [r.w for r in got] and 10 < sum(r.w for r in got) < len(got)
+    got = df.select(F.expr(within(0.9, likely=True).format(a="a.", b="b.")).alias("g"), plain.alias("w")).collect()
+    assert [r.g for r in got] == [r.w for r in got]
