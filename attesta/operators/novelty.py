@@ -25,9 +25,9 @@ def asked(cands: DataFrame) -> DataFrame:
 def neighbours(cands: DataFrame, mem: DataFrame, near: int = NEAR, scored: DataFrame | None = None) -> DataFrame:
     """cand, rank, slug, score: the memories with the highest score for each candidate, then by slug.
 
-    Each task keeps its own best ones of a candidate before any are shuffled (the rank is bounded, and nothing else looks at the window).
+    Only the best ones of a candidate leave the cell in which they are counted.
     """
-    rows = recognise.scores(mem, asked(cands)) if scored is None else scored
+    rows = recognise.votes(mem, asked(cands), top=near) if scored is None else scored
     order = Window.partitionBy("q").orderBy(F.desc("score"), "slug")
     best = rows.select("q", "slug", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= near)
     return best.select(F.col("q").alias("cand"), F.col("rank").cast("long").alias("rank"), "slug", "score")

@@ -234,3 +234,47 @@ def test_words_fallback_deals_lines_once(spark):
     found = recognise.by_words(lines, spark.createDataFrame([("1", "Oak oak?"), ("2", "or")], "q string, question string"))
     assert rows(found, "q", "rank", "slug", "hits") == [("1", 1, "oak", 8), ("1", 2, "elm", 2)]
     assert not re.search(r"hashpartitioning\(q#\d+L?, line_no", plan_of(found))
+
+
+def test_votes_are_those_of_every_pair_and_only_the_best_leave_a_cell(spark):
+    """Against a plain count over all pairs; equal memories are ranked by slug, and a question's others stay in the cell."""
+    import math
+    import re
+
+    from attesta.functions.fixed import HEAD_WEIGHTS, TOKEN
+
+    names = ["oak road", "elm lane 4", "fir 𝒳 hill", "ash end", "yew"]
+    bodies = {f"m-{i:03}": (names[i % 5], f"{names[i % 5]} by the {names[(i * 7) % 5]} {i % 3}") for i in range(40)} | {"odd one": ("Straße.", "ÄÖ  x"), "none": ("", "")}
+    asked = {"a": "Where is m-007 of oak road?", "b": "elm lane 4", "c": "zz", "d": "", "e": "the strasse 𝒳 hill"}
+    mem = spark.createDataFrame([(s, t, b, b) for s, (t, b) in bodies.items()], "slug string, title string, hook string, body string")
+    q = spark.createDataFrame(list(asked.items()), "q string, question string")
+
+    def grams(text, n):
+        t = re.sub(r"\s+", " ", text.casefold()).strip()
+        return {t[i : i + n] for i in range(len(t) - n + 1)}
+
+    def heads(meta, opening):
+        return {"word": set(re.findall(TOKEN, meta.casefold())), "char3": grams(meta, 3), "char2": grams(meta, 2), "body": grams(opening, 3)}
+
+    held = {s: heads(f"{t} {b}", b) for s, (t, b) in bodies.items()}
+    cited = {(r.q, r.slug): r.score for r in recognise.cited(mem, q).collect()}
+    want = {}
+    for k, text in asked.items():
+        has, best = heads(text, text), max([v for (x, _), v in cited.items() if x == k], default=0)
+        for s in bodies:
+            score, voted = (HEAD_WEIGHTS["name"] * cited[k, s] / best, True) if (k, s) in cited else (0, False)
+            for h, of_q in has.items():
+                df = {g: sum(g in x[h] for x in held.values()) for g in of_q}
+                idf = {g: math.log(len(bodies) / df[g]) if df[g] else math.log(len(bodies)) for g in of_q if df[g] < 3 or df[g] / len(bodies) <= 0.2}
+                common = idf.keys() & held[s][h]
+                score, voted = score + HEAD_WEIGHTS[h] * sum(idf[g] for g in common) / sum(idf.values()) if common else score, voted or bool(common)
+            if voted:
+                want[k, s] = score
+    got = {(r.q, r.slug): r.score for r in recognise.votes(mem, q).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-9 for x in want)
+    few = recognise.votes(mem, q, top=3).collect()
+    for k in asked:
+        best = sorted((-got[x], x[1]) for x in got if x[0] == k)[:3]
+        mine = [(-r.score, r.slug) for r in few if r.q == k]
+        assert sorted(mine)[:3] == best and len(mine) <= 3  # one cell
+    assert recognise.votes(mem.limit(0), q).count() == 0
