@@ -278,3 +278,23 @@ def test_votes_are_those_of_every_pair_and_only_the_best_leave_a_cell(spark):
         mine = [(-r.score, r.slug) for r in few if r.q == k]
         assert sorted(mine)[:3] == best and len(mine) <= 3  # one cell
     assert recognise.votes(mem.limit(0), q).count() == 0
+
+
+def test_names_of_several_words_meet_texts_by_their_first_words(spark):
+    """Against containment of all pairs; the join's rows are pairs that share more than a first word."""
+    import random
+
+    rnd = random.Random(2)
+    some = ["a", "ab", "(ab", "b-a", "é", "éa", "abc", "ca"]
+    line = lambda n: " ".join(rnd.choice(some) for _ in range(n))
+    texts = {str(i): line(rnd.randint(0, 7)) for i in range(60)}
+    names = sorted({line(rnd.randint(1, 5)) for _ in range(150)} | {"b ab", "c a", "a  b"})
+    t = spark.createDataFrame(list(texts.items()), "q string, t string")
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    want = sorted((q, x) for q, text in texts.items() for x in names if " " in x and x in text)
+    found = recognise.containing(t, n, "name")
+    assert sorted((r.q, r.name) for r in found.collect()) == want
+    asked, led = t.withColumnRenamed("t", "question"), n.where("name not like '%  %'").selectExpr("name text", "name slug", "name digest")
+    bound = lambda x, text: bool(re.search(rf"(?<![a-z0-9-]){re.escape(x)}(?![a-z0-9-])", text)) if re.search("[a-z0-9]", x) else x in text
+    hits = {q: [x for x in names if "  " not in x and bound(x, text)] for q, text in texts.items()}
+    assert {r.q: r.slug for r in cues.direct(asked, cues.ledger(led)).collect()} == {q: x[0] for q, x in hits.items() if len(x) == 1}
