@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm import queries
 from attesta.llm.decontaminate import decontaminated, leaks
-from attesta.llm.line_dedup import line_groups, within, without_repeats
+from attesta.llm.line_dedup import line_groups, pieced, within, without_repeats
 from attesta.llm.simhash import block_keys, simhash
 
 
@@ -252,3 +252,20 @@ def test_pieces_agree_with_the_whole_distance(spark):
     assert [r.g for r in got] == [r.w for r in got] and 10 < sum(r.w for r in got) < len(got)
     got = df.select(F.expr(within(0.9, likely=True).format(a="a.", b="b.")).alias("g"), plain.alias("w")).collect()
     assert [r.g for r in got] == [r.w for r in got]
+
+
+def test_pieces_prove_long_lines_of_few_words(spark):
+    rng, pairs = random.Random(11), []
+    for size in (3000, 12000):
+        for share in (0.02, 0.04, 0.06):
+            a = [rng.choice("the of and in to was that it on for with from this they".split()) for _ in range(size // 4)]
+            b = list(a)
+            for i in rng.sample(range(len(a)), int(len(a) * share)):
+                b[i] = rng.choice(["", "xy", b[i] + " on"])
+            pairs.append((" ".join(a), " ".join(b)))
+    a = pairs[0][0]
+    pairs.append((a, a[:1000] + a[1200:]))
+    df = spark.createDataFrame(pairs, "x string, y string").select(F.struct(F.col("x").alias("norm")).alias("a"), F.struct(F.col("y").alias("norm")).alias("b"))
+    # Runs of these words occur everywhere; cut at the first one found, however far, the pieces proved one of these seven pairs.
+    got = df.select(F.expr(pieced(0.9, likely=True).format(a="a.", b="b.")).alias("g"), F.expr(within(0.9, likely=True).format(a="a.", b="b.")).alias("w")).collect()
+    assert [(r.g, r.w) for r in got] == [(True, True)] * len(pairs)
